@@ -66,5 +66,5 @@ ORACLE = {
     "p1_found": _P1 + "select run_id, path_key from found",
     "p1_changes_per_run": _P1 + "select run_id, count(*) as n_changed from found group by run_id",
     "p2_found": _P2 + "select distinct table_name, row_id, kind from found where kind is not null",
-    "p2_orphans_per_month": _P2 + "select table_name, strftime("at", '%Y-%m') as month, kind, count(*) as n from found where kind is not null group by all",
+    "p2_orphans_per_month": _P2 + "select table_name, strftime(\"at\", '%Y-%m') as month, kind, count(*) as n from found where kind is not null group by all",
 }
