@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, leaks, splitting
+from shelfspark.llm import bpe, leaks, neighbours, splitting
 from shelfspark.util import table
 
 
+def p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf, "chunks"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.similar_pairs(p3_neighbours(spark, sf))
+
+
 def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_chunks(table(spark, sf, "chunks"))
 
@@ -33,7 +41,7 @@ def p8_items(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaked_items(p8_found(spark, sf), table(spark, sf, "benchmark"))
 
 
-QUERIES = {"p6_pieces": p6_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_passages": p8_passages, "p8_items": p8_items}
+QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_pieces": p6_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_passages": p8_passages, "p8_items": p8_items}
 
 _BLANK = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}\x{200B}\x{FEFF}]"
 
