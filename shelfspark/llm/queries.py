@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, leaks, neighbours, splitting
+from shelfspark.llm import bpe, conversations, leaks, neighbours, splitting
 from shelfspark.util import table
 
 
@@ -17,6 +17,14 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.similar_pairs(p3_neighbours(spark, sf))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.complete(table(spark, sf, "messages"))
+
+
+def p4_threads(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.threads(table(spark, sf, "messages"))
+
+
 def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_chunks(table(spark, sf, "chunks"))
 
@@ -41,10 +49,24 @@ def p8_items(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaked_items(p8_found(spark, sf), table(spark, sf, "benchmark"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_pieces": p6_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_passages": p8_passages, "p8_items": p8_items}
+QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_threads": p4_threads, "p6_pieces": p6_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_passages": p8_passages, "p8_items": p8_items}
 
 _BLANK = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}\x{200B}\x{FEFF}]"
 
+_NAMES = {k: ", ".join(f"'{n}'" for n in v) for k, v in (("user", conversations.USER), ("assistant", conversations.ASSISTANT), ("system", conversations.SYSTEM))}
+
+_P4 = f"""
+with n as (select id, lower(regexp_replace(session_id, '^{_BLANK}+|{_BLANK}+$', '', 'g')) as session_id, created_at, content,
+  lower(regexp_replace(role, '[^\\p{{L}}]+', '', 'g')) as name from messages),
+s as (select *, case when name in ({_NAMES["user"]}) then 'user' when name in ({_NAMES["assistant"]}) then 'assistant' when name in ({_NAMES["system"]}) then 'system' else '?' end as speaker from n where session_id is not null and session_id <> ''),
+t as (select session_id, speaker, created_at, content, min(id) as id from s where speaker <> 'system' group by all),
+o as (select *, row_number() over (partition by session_id order by created_at nulls first, case speaker when 'user' then 0 when 'assistant' then 1 else 2 end, id) as turn from t),
+k as (select session_id from o group by session_id having count(*) % 2 = 0 and bool_and(speaker = case turn % 2 when 1 then 'user' else 'assistant' end and created_at is not null
+  and coalesce(length(regexp_replace(content, '{_BLANK}+', '', 'g')), 0) > 0))
+select session_id, cast(turn as integer) as turn, id from o where session_id in (select session_id from k)
+"""
+
 ORACLE = {
+    "p4_found": _P4,
     "p6_found": f"select distinct chunk_id from chunks where length(regexp_replace(text, '^{_BLANK}+|{_BLANK}+$', '', 'g')) > 1000",
 }
