@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, conversations, leaks, neighbours, splitting
+from shelfspark.llm import bpe, conversations, leaks, neighbours, sentences, splitting
 from shelfspark.util import table
 
 
@@ -49,7 +49,15 @@ def p8_items(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaked_items(p8_found(spark, sf), table(spark, sf, "benchmark"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_threads": p4_threads, "p6_pieces": p6_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_passages": p8_passages, "p8_items": p8_items}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf, "documents"))
+
+
+def p9_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf, "documents"), with_text=True)
+
+
+QUERIES = {"p9_found": p9_found, "p9_sentences": p9_sentences, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_threads": p4_threads, "p6_pieces": p6_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_passages": p8_passages, "p8_items": p8_items}
 
 _BLANK = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}\x{200B}\x{FEFF}]"
 
