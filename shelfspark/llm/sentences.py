@@ -90,7 +90,7 @@ def units(text: str) -> Iterator[tuple[str, int, int]]:
             else:
                 if begun < 0:
                     begun = a
-                ended = bool(_TERMINAL.search(text, max(a, b - 8), b))
+                ended = bool(_TERMINAL.search(text, max(a, b - 8), b)) or "ก" <= text[b - 1] <= "๛"
         if begun >= 0:
             yield "text", begun, block[-1][1]
 
@@ -243,7 +243,7 @@ def train(texts: list[str], rounds: int = ROUNDS, penalty: float = PENALTY, leas
     for (feats, certain), n in counted.items():
         rows.setdefault(feats, [0, 0])[certain] += n
     # single tokens on the right need more evidence
-    weigh = penalty * np.array([10.0 if f.startswith("r=") else 1.0 for f in names])
+    weigh = penalty * np.array([3.0 if f.startswith("r=") else 1.0 for f in names])
     index = np.array([[names[f] for f in feats] for feats in rows])
     counts = np.array(list(rows.values()), np.float64)
     total, positive = counts.sum(1), counts[:, 1]
