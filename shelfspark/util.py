@@ -81,3 +81,14 @@ def replicated(df: DataFrame, hot: DataFrame, keys: Sequence[str], salts: int) -
     marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return marked.withColumn("_salt", F.explode(every)).drop("_hot")
+
+
+def bounded_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
+    """Rows of the (at most) n ids with the smallest hash, one row for each id.
+
+    Only hashes are ranked, n of them for each task, before the rows themselves are read; so what moves is
+    bounded by n whatever the size of the rows, the table, or the number of copies of an id.
+    """
+    h = F.xxhash64(F.col(id_col))
+    last = df.select(h.alias("h")).distinct().orderBy("h").limit(n).agg(F.max("h").alias("h")).first().h
+    return df.filter(h <= F.lit(last)).dropDuplicates([id_col]) if last is not None else df.limit(0)
