@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.util import bounded_sample
+
 #: Documents the model is trained on, rounds of training, penalty, and the least chance of a boundary.
 SAMPLE, ROUNDS, PENALTY, LEAST = 4000, 300, 0.3, 0.3
 
@@ -306,8 +308,8 @@ class Splitter:
 
 def training_texts(documents: DataFrame, sample: int = SAMPLE) -> list[str]:
     """At most `sample` texts, chosen by a hash of their id."""
-    rows = documents.select("doc_id", "text").filter(F.length("text") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return [r.text for r in rows.collect()]
+    rows = bounded_sample(documents.select("doc_id", "text").filter(F.length("text") > 0), "doc_id", sample)
+    return [r.text for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
 
 
 _SPLITTERS: dict[str, Splitter] = {}
