@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, conversations, leaks, neighbours, sentences, splitting
+from shelfspark.llm import bpe, conversations, leaks, neighbours, scans, sentences, splitting
 from shelfspark.util import table
 
 
@@ -25,6 +25,14 @@ def p4_threads(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.threads(table(spark, sf, "messages"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.damaged_lines(table(spark, sf, "chunks"))
+
+
+def p5_text(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.repaired(table(spark, sf, "chunks"))
+
+
 def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_chunks(table(spark, sf, "chunks"))
 
@@ -57,7 +65,7 @@ def p9_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentences(table(spark, sf, "documents"), with_text=True)
 
 
-QUERIES = {"p9_found": p9_found, "p9_sentences": p9_sentences, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_threads": p4_threads, "p6_pieces": p6_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_passages": p8_passages, "p8_items": p8_items}
+QUERIES = {"p9_found": p9_found, "p9_sentences": p9_sentences, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_threads": p4_threads, "p5_found": p5_found, "p5_text": p5_text, "p6_pieces": p6_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_passages": p8_passages, "p8_items": p8_items}
 
 _BLANK = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}\x{200B}\x{FEFF}]"
 
