@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: White space of any kind (no-break spaces included), U+200B and U+FEFF, as a regular expression class.
@@ -92,3 +93,18 @@ def bounded_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
     h = F.xxhash64(F.col(id_col))
     last = df.select(h.alias("h")).distinct().orderBy("h").limit(n).agg(F.max("h").alias("h")).first().h
     return df.filter(h <= F.lit(last)).dropDuplicates([id_col]) if last is not None else df.limit(0)
+
+
+def numbered(rows: DataFrame, key: str, order: list[Column], bucket: Column, name: str) -> DataFrame:
+    """`name`: 1.. for the rows of each key by bucket and order, without a task ever holding a whole key.
+
+    bucket must rise with the order. Rows are numbered within (key, bucket); the offset of a bucket is the
+    sum of the counts of those before it, one small row each.
+    """
+    b = rows.withColumn("_b", bucket)
+    inner = b.withColumn("_n", F.row_number().over(W.partitionBy(key, "_b").orderBy(*order)))
+    counts = b.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(F.col(key).alias("_k"), F.col("_b").alias("_kb"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    joined = inner.join(offsets, F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_kb")), "left")
+    return joined.withColumn(name, (F.col("_n") + F.col("_o")).cast("int")).drop("_b", "_n", "_o", "_k", "_kb")
