@@ -24,6 +24,19 @@ NUMBERED = rf"^(?:\d{{1,2}}(?:\.\d{{1,2}})*\.?|[IVX]{{1,5}}\.){WS}+"
 MAX_TOKENS = 32
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Small Latin letters with marks, and the letters without."""
+    pairs = []
+    for c in map(chr, [*range(0xE0, 0x250), *range(0x1E00, 0x1F00)]):
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if len(base) == 1 and base != c == c.lower():
+            pairs.append((c, base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, UNMARKED = _plain_letters()
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
@@ -133,7 +146,7 @@ def search_tokens(text: Column, most: int = MAX_TOKENS) -> Column:
 
 def index_tokens(text: Column) -> Column:
     """Words of an indexed text in order, in small letters, marks of letters off, parted also at _."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{Mn}", "")
+    plain = F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{Mn}", ""), MARKED, UNMARKED)
     return F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from shelfspark.config import Settings
 from shelfspark.functions import questions as ask
-from shelfspark.functions.text import KNOWN_SECTIONS, NUMBERED, STOPWORDS, WS
+from shelfspark.functions.text import KNOWN_SECTIONS, MARKED, NUMBERED, STOPWORDS, UNMARKED, WS
 from shelfspark.operators.library import STATE_LABELS
 from shelfspark.operators.metrics import STOP
 from shelfspark.operators.passages import BACK_MATTER
@@ -83,7 +83,8 @@ _WORD = r"[\p{L}\p{N}_]+"
 
 
 def tokens(e: str) -> str:
-    return f"regexp_extract_all({rr(f'lower(coalesce({e}, {q(chr(32)).strip()}))', r'\p{Mn}')}, {q(r'[\p{L}\p{N}]+')})"
+    plain = rr(f"lower(coalesce({e}, ''))", r"\p{Mn}")
+    return f"regexp_extract_all(translate({plain}, {q(MARKED)}, {q(UNMARKED)}), {q(r'[\p{L}\p{N}]+')})"
 
 
 def terms(source: str, key: str, text: str) -> str:

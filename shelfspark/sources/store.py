@@ -107,7 +107,7 @@ class IndexStore:
         ids = table.select("path_key", "file_id")
         if ids.groupBy("file_id").count().filter("count > 1").limit(1).count():
             raise ValueError("two paths have the same file id")
-        numbered = chunks.join(ids, "path_key").withColumn("chunk_id", F.col("file_id") * SPAN + F.col("ordinal"))
+        numbered = chunks.drop("file_id", "chunk_id").join(ids, "path_key").withColumn("chunk_id", F.col("file_id") * SPAN + F.col("ordinal"))
         part = self._write(numbered.select([c.split()[0] for c in CHUNKS.split(", ")]), "chunks")
         dropped = self._write(known.join(touched.distinct(), "path_key", "left_semi").select("file_id"), "dropped")
         return self._publish(s, files=path, parts=[*s["parts"], part], dropped=[*s["dropped"], [len(s["parts"]), dropped]])
