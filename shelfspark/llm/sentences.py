@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from shelfspark.util import bounded_sample
 
 #: Documents the model is trained on, rounds of training, penalty, and the least chance of a boundary.
-SAMPLE, ROUNDS, PENALTY, LEAST = 4000, 300, 0.3, 0.3
+SAMPLE, ROUNDS, PENALTY, LEAST = 10_000, 300, 0.3, 0.12
 
 #: Decisions kept by a worker; beyond it the table is emptied and fills again.
 KEPT = 500_000
@@ -106,10 +106,10 @@ def _alone(text: str, a: int, b: int) -> str:
 
 
 def _heading(text: str, a: int, b: int, after: int) -> bool:
-    """A short line without a sentence mark whose next line doesn't go on in lower case."""
+    """A short line without a sentence mark (but for a number's) whose next line doesn't go on in lower case."""
     if b - a > 60 or text[after].islower() or text[b - 1] in ",;:，、；：،؛-" or _TERMINAL.search(text, max(a, b - 8), b):
         return False
-    return text.count(" ", a, b) <= 9 and not _THAI.search(text, a, b)
+    return text.count(" ", a, b) <= 9 and not _THAI.search(text, a, b) and not _CANDIDATE.search(text, a + 6, b)
 
 
 def _shape(token: str) -> str:
