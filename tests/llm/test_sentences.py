@@ -88,7 +88,7 @@ def test_held_out_paragraph_ends(spark):
                 nxt = text[m.end() : b].split(None, 1)
                 if m.end() < b and text[m.end()].isspace() and nxt:
                     end = m.end() in ends
-                    if nxt[0][0].islower():
+                    if nxt[0].strip(".,").islower():
                         inside += 1
                         wrong += end
                     elif text[m.start() - 1].islower() and len(text[a : m.start()].split()[-1]) > 6 and text[a : m.start()].split()[-1].isalpha() and text[m.start()] == "." and m.end() - m.start() == 1:
