@@ -104,6 +104,53 @@ def listing(files: DataFrame, folders: DataFrame, most: int = LISTED) -> DataFra
     return of.withColumn("n", n).filter(F.col("n") <= most).select("folder_key", "n", line.alias("line"))
 
 
+def tree(files: DataFrame, folder: str, most: int = LISTED) -> DataFrame:
+    """(place, depth, is_folder, line) of the documents below a folder and the folders they stand in, as a tree: at each
+    level folders first, then documents, by name in small letters. Only the first `most` documents are listed.
+
+    files: path_key, name, status, num_pages, ocr_pages, once each. Counts of folders are combined on the map side.
+    """
+    root = folder.rstrip("/")
+    below = files.filter(in_scope(F.col("path_key"), root)).withColumn("rest", F.split(F.expr(f"substring(path_key, {len(root) + 2})"), "/"))
+    place = lambda parts, last: F.concat(F.array_join(F.transform(parts, lambda p: F.concat(F.lit("0"), F.lower(p), F.lit("\x00"), p)), "\x01"), last)
+    label = state_label(F.col("status"), F.col("num_pages"), F.col("ocr_pages"))
+    own = F.slice("rest", 1, F.size("rest") - 1)
+    docs = below.select(
+        place(own, F.concat(F.when(F.size("rest") > 1, "\x01").otherwise(""), F.lit("1"), F.lower("name"), F.lit("\x00"), F.col("path_key"))).alias("place"),
+        (F.size("rest") - 1).alias("depth"),
+        F.lit(False).alias("is_folder"),
+        F.concat(markdown_escape(F.col("name")), F.when(label != "", F.concat(F.lit(" — "), label)).otherwise("")).alias("line"),
+    )
+    prefixes = F.when(F.size("rest") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("rest") - 1)), lambda n: F.slice("rest", 1, n))).otherwise(F.array().cast("array<array<string>>"))
+    counts = below.select(F.explode(prefixes).alias("parts")).groupBy("parts").agg(F.count(F.lit(1)).alias("n"))
+    name = F.concat(F.lit("📁 **"), markdown_escape(F.element_at("parts", -1)), F.lit("/** ("), F.col("n").cast("string"), F.when(F.col("n") == 1, " document)").otherwise(" documents)"))
+    dirs = counts.select(place(F.col("parts"), F.lit("")).alias("place"), (F.size("parts") - 1).alias("depth"), F.lit(True).alias("is_folder"), name.alias("line"))
+    return docs.orderBy("place").limit(most).unionByName(dirs)
+
+
+def inventory_text(files: DataFrame, folder: str, most: int = LISTED) -> str:
+    """What a folder holds, as Markdown. Its documents are counted; the lines are those of `tree`."""
+    rows = tree(files, folder, most).orderBy("place").collect()  # `most` documents and the folders
+    total = files.filter(in_scope(F.col("path_key"), folder)).count()
+    escape = str.maketrans({c: "\\" + c for c in "\\`*_[]<>#|"})
+    title = folder.rstrip("/").rpartition("/")[2].translate(escape)
+    if not total:
+        return f"**{title}** has no files that can be read (PDF, Word, text, Markdown or images)."
+    folders = sum(r.is_folder for r in rows)
+    head = f"**{title}** contains {total} document{'s' * (total != 1)}" + (f" across {folders + 1} folders" if folders else "") + ":"
+    lines = [f"{'  ' * r.depth}- {r.line}" for r in rows]
+    more = total - sum(not r.is_folder for r in rows)
+    return "\n".join([head, "", *lines, *([f"- …and {more} more"] if more else [])])
+
+
+def file_text(files: DataFrame, path_key: str) -> str | None:
+    """What is known of one file; None if nothing is."""
+    r = files.filter(F.col("path_key") == path_key).select(markdown_escape(F.col("name")).alias("name"), "path", state_label(F.col("status"), F.col("num_pages"), F.col("ocr_pages")).alias("label")).first()
+    if r is None:
+        return None
+    return f"This chat is about one file: **{r.name}**" + (f" ({r.label})" if r.label else "") + f", in `{r.path.rpartition('/')[0]}`."
+
+
 def other_kinds(found: DataFrame, supported: Sequence[str], most: int = 6) -> DataFrame:
     """The most common extensions among files that can't be read: ext, n."""
     ext = F.lower(F.regexp_extract("path_key", r"[^/.][^/]*?(\.[^./]*)$", 1))

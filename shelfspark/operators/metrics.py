@@ -50,6 +50,11 @@ def totals(per_query: DataFrame) -> DataFrame:
     return per_query.agg(F.count(F.lit(1)).alias("queries"), *(mean(c) for c in ("file_hit", "mrr", "precision", "ctx_recall")))
 
 
+def unanswerable(hits: DataFrame) -> DataFrame:
+    """Of questions without an answer: the highest relevance of any best hit (0 without hits). One row."""
+    return hits.filter("rank = 1").agg(F.coalesce(F.max("relevance"), F.lit(0.0)).alias("max_relevance"))
+
+
 def lcs_length(a: list, b: list) -> int:
     """Length of the longest common subsequence, with one bit for each element of b."""
     places: dict = {}

@@ -24,10 +24,13 @@ HIT = ["query_id", "ref", "file", "path", "pages", "page", "section", "snippet",
 
 class Engine:
     """scorer: (question, passage) -> logit as a Column, or None to rank by fusion alone; answerer: a function of
-    (query_id, question, excerpts) rows -> (query_id, answer) rows, or None without a model."""
+    (query_id, question, excerpts) rows -> (query_id, answer) rows, or None without a model. condenser: questions
+    (all columns, so a history too) -> (query_id, query), to make follow-ups stand alone; rewriter: (query_id,
+    question) of questions for which nothing relevant was found -> (query_id, query) to try once more."""
 
-    def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings(), scorer: Callable[[Column, Column], Column] | None = search.shared_words, answerer: Callable[[DataFrame], DataFrame] | None = None, readers: dict | None = None):
+    def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings(), scorer: Callable[[Column, Column], Column] | None = search.shared_words, answerer: Callable[[DataFrame], DataFrame] | None = None, readers: dict | None = None, condenser: Callable[[DataFrame], DataFrame] | None = None, rewriter: Callable[[DataFrame], DataFrame] | None = None):
         self.spark, self.settings, self.scorer, self.answerer, self.readers = spark, settings, scorer, answerer, readers
+        self.condenser, self.rewriter = condenser, rewriter
         self.store = IndexStore(spark, root)
         self.store.require(settings.fingerprint())
 
@@ -70,7 +73,12 @@ class Engine:
         """
         docs = self.docs().filter(library.in_scope(F.col("path_key"), folder, files))
         known = self.store.files().filter(library.in_scope(F.col("path_key"), folder, files))
-        return answers(docs, known, questions, self.settings, self.scorer, self.answerer, one_file=bool(files) and len(files) == 1)
+        one_file = bool(files) and len(files) == 1
+        out = answers(docs, known, questions, self.settings, self.scorer, self.answerer, one_file, self.condenser, self.rewriter)
+        if not route(questions).filter("mode = 'inventory'").limit(1).count():
+            return out
+        text = library.file_text(known, files[0]) if files else library.inventory_text(known, folder)
+        return out.withColumn("answer", F.when(F.col("mode") == "inventory", F.lit(text or "I couldn't list that.")).otherwise(F.col("answer")))
 
 
 def route(questions: DataFrame) -> DataFrame:
@@ -79,14 +87,17 @@ def route(questions: DataFrame) -> DataFrame:
     return questions.withColumn("wanted", ask.page_reference(text)).withColumn("mode", ask.mode(text))
 
 
-def passages_for(docs: DataFrame, files: DataFrame, questions: DataFrame, settings: Settings = Settings(), scorer=search.shared_words) -> DataFrame:
-    """(query_id, chunk_id, ref, relevance, mode) of the passages each question is answered from.
+def passages_for(docs: DataFrame, files: DataFrame, questions: DataFrame, settings: Settings = Settings(), scorer=search.shared_words) -> tuple[DataFrame, DataFrame]:
+    """(query_id, chunk_id, ref, relevance, mode) of the passages each question is answered from, and (query_id,
+    message) of page questions of which there are none. questions: query_id, text and, if it differs, query, what is
+    searched for.
 
     Page questions take the chunks on those pages of the file of their best hit; overview questions up to 4
     relevant hits and a spread over the documents; the others the best hits of a hybrid search.
     """
     routed = route(questions)
-    hits = written(search.hybrid(docs, questions, settings, scorer=scorer), "hits")  # read by every branch below
+    searched = questions.select("query_id", F.col("query" if "query" in questions.columns else "text").alias("text"))
+    hits = written(search.hybrid(docs, searched, settings, scorer=scorer), "hits")  # read by every branch below
     file_of = docs.select("chunk_id", "file_id", "path_key")
     plain = hits.join(routed.filter("mode = 'search'").select("query_id"), "query_id").select("query_id", "chunk_id", F.col("rank").alias("ref"), "relevance")
     # pages
@@ -108,7 +119,9 @@ def passages_for(docs: DataFrame, files: DataFrame, questions: DataFrame, settin
     both = first.unionByName(rest)
     spread = both.withColumn("ref", F.row_number().over(W.partitionBy("query_id").orderBy("o"))).drop("o")
     parts = plain.withColumn("mode", F.lit("search")).unionByName(paged.withColumn("mode", F.lit("pages"))).unionByName(spread.withColumn("mode", F.lit("overview")))
-    return parts
+    empty = F.concat(F.lit("Page "), F.array_join(F.transform("pages", lambda p: p.cast("string")), ", "), F.lit(" of "), F.col("name"), F.lit(" has no readable text: it may be blank, a picture without words, or handwriting OCR couldn't read."))
+    unread = asked.filter("message is null and pages is not null").join(on_pages.select("query_id").distinct(), "query_id", "left_anti").join(files.select("file_id", "name"), "file_id").select("query_id", empty.alias("message"))
+    return parts, asked.filter("message is not null").select("query_id", "message").unionByName(unread)
 
 
 def overview(docs: DataFrame, most: int = 10) -> DataFrame:
@@ -127,33 +140,51 @@ def overview(docs: DataFrame, most: int = 10) -> DataFrame:
     return picked.withColumn("n", n).filter(F.col("n") <= most).select("chunk_id", "n")
 
 
-def answers(docs: DataFrame, files: DataFrame, questions: DataFrame, settings: Settings = Settings(), scorer=search.shared_words, answerer=None, one_file: bool = False) -> DataFrame:
+def answers(docs: DataFrame, files: DataFrame, questions: DataFrame, settings: Settings = Settings(), scorer=search.shared_words, answerer=None, one_file: bool = False, condenser=None, rewriter=None) -> DataFrame:
     """The whole pipeline: route, retrieve, judge the evidence, answer, cite.
 
-    status: answered, not_found (no passage is relevant enough) or no_llm (passages, but no answerer). In a chat
-    about one file there is always an answer from an overview.
+    status: answered, not_found (no passage is relevant enough) or no_llm (passages, but no answerer). A question for
+    pages that aren't there is answered by saying so. In a chat about one file there is always an answer: without
+    evidence from an overview (mode fallback). rewriter: see Engine; the second search counts unless the first was better.
     """
+    if condenser is not None:
+        made = condenser(questions).select("query_id", F.col("query").alias("_q"))
+        questions = questions.join(made, "query_id", "left").withColumn("query", F.coalesce("_q", "text")).drop("_q")
     routed = route(questions)
-    found = written(passages_for(docs, files, questions, settings, scorer), "passages")
-    top = found.groupBy("query_id").agg(F.min(F.struct("ref", F.coalesce("relevance", F.lit(1.0)).alias("r"))).alias("t"))
-    judged = routed.join(top, "query_id", "left").withColumn("top", F.coalesce("t.r", F.lit(-1.0)))
+    parts, notes = passages_for(docs, files, questions, settings, scorer)
+    found, notes = written(parts, "passages"), written(notes, "notes")
+    best_of = lambda rows: rows.groupBy("query_id").agg(F.min(F.struct("ref", F.coalesce("relevance", F.lit(1.0)).alias("r"))).alias("t")).select("query_id", F.col("t.r").alias("top"))
+    top = best_of(found)
+    if rewriter is not None:
+        doubt = routed.join(top, "query_id", "left").filter((F.col("mode") == "search") & (F.coalesce("top", F.lit(-1.0)) < settings.min_relevance))
+        again = doubt.select("query_id", "text").join(rewriter(doubt.select("query_id", F.col("text").alias("question"))).select("query_id", "query"), "query_id")
+        second = written(passages_for(docs, files, again, settings, scorer)[0], "passages")
+        better = best_of(second).withColumnRenamed("top", "new").join(top, "query_id", "left").filter(F.col("new") >= F.coalesce("top", F.lit(-1.0))).select("query_id")
+        found = written(found.join(better, "query_id", "left_anti").unionByName(second.join(better, "query_id", "left_semi")), "passages")
+        top = best_of(found)
+    judged = routed.join(top, "query_id", "left").withColumn("top", F.coalesce("top", F.lit(-1.0))).join(notes, "query_id", "left")
     evident = F.col("top") >= settings.not_found_relevance
-    listed = F.col("mode") == "inventory"
+    if one_file:
+        weak = judged.filter(~evident & (F.col("mode") == "search")).select("query_id")
+        wide = weak.crossJoin(F.broadcast(overview(docs, settings.overview_chunks)))  # overview_chunks rows at most
+        found = found.join(weak, "query_id", "left_anti").unionByName(wide.select("query_id", "chunk_id", F.col("n").alias("ref"), F.lit(None).cast("double").alias("relevance"), F.lit("fallback").alias("mode")))
+        judged = judged.withColumn("mode", F.when(~evident & (F.col("mode") == "search"), "fallback").otherwise(F.col("mode")))
+    listed = (F.col("mode") == "inventory") | F.col("message").isNotNull()
     status = F.when(listed, "answered").when(evident | F.lit(one_file), "answered" if answerer else "no_llm").otherwise("not_found")
-    state = judged.select("query_id", "mode", "text", "top", status.alias("status"))
+    state = judged.select("query_id", "mode", "text", "top", "message", status.alias("status"))
     rows = found.join(docs.select("chunk_id", "path", "name", "text", "section", "page_start", "page_end", "ocr"), "chunk_id")
     cites = rows.select("query_id", "ref", F.col("name").alias("file"), "path", page_label(F.col("page_start"), F.col("page_end")).alias("pages"), F.col("page_start").alias("page"), "section", F.substring("text", 1, settings.snippet_chars).alias("snippet"), "relevance", "ocr")
     per = cites.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*HIT[1:]))).alias("citations"))  # 14 at most
     out = state.join(per, "query_id", "left")
     empty = F.array().cast(per.schema["citations"].dataType)
-    out = out.withColumn("citations", F.when(F.col("status").isin("not_found") | (F.col("mode") == "inventory"), empty).otherwise(F.coalesce("citations", empty)))
+    out = out.withColumn("citations", F.when((F.col("status") == "not_found") | (F.col("mode") == "inventory") | F.col("message").isNotNull(), empty).otherwise(F.coalesce("citations", empty)))
     if answerer is not None:
         texts = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ref", excerpt(rows).alias("block")))).alias("b"))  # 14 at most
-        given = out.filter("status = 'answered' and mode <> 'inventory'").join(texts, "query_id").select("query_id", F.col("text").alias("question"), F.array_join("b.block", "\n\n").alias("excerpts"))
+        given = out.filter("status = 'answered' and mode <> 'inventory' and message is null").join(texts, "query_id").select("query_id", F.col("text").alias("question"), F.array_join("b.block", "\n\n").alias("excerpts"))
         said = answerer(given).select("query_id", normal_citations(F.col("answer")).alias("answer"))
-        out = out.join(said, "query_id", "left")
+        out = out.join(said, "query_id", "left").withColumn("answer", F.coalesce("message", "answer"))
     else:
-        out = out.withColumn("answer", F.lit(None).cast("string"))
+        out = out.withColumn("answer", F.col("message"))
     return out.select("query_id", "mode", "status", "answer", "citations", cited_refs(F.coalesce("answer", F.lit(""))).alias("cited"))
 
 

@@ -74,6 +74,13 @@ def test_sync_is_incremental_and_answers(spark, library, tmp_path):
     assert got[2].status == "not_found" and got[2].citations == [] and (got[3].mode, got[3].status) == ("inventory", "answered")
     assert got[4].mode == "pages" and got[4].citations[0].file == "scan.pdf" and got[4].citations[0].pages in ("p. 2", "pp. 1–2")
     assert got[5].mode == "overview" and {c.file for c in got[5].citations} == {"latin.txt", "meeting.docx", "notes.txt", "scan.pdf"}
+    assert got[3].answer.startswith("**docs** contains 5 documents across 3 folders:\n\n- 📁 **\\_under/** (1 document)\n  - latin.txt\n- 📁 **sub/** (1 document)\n  - meeting.docx\n- broken.docx — couldn't be read\n")
+    far = spark.createDataFrame([(1, "page 40 of the scanned ledger"), (2, "zebra xylophone"), (3, "list the files")], "query_id long, text string")
+    one = {r.query_id: r for r in engine.answer(far, files=[str(library / "scan.pdf")]).collect()}
+    assert (one[1].status, one[1].answer) == ("answered", "scan.pdf has 2 pages, so there is no page 40.") and one[1].citations == []
+    assert (one[2].mode, one[2].status) == ("fallback", "no_llm") and one[2].citations and "scan.pdf" in one[3].answer
+    retry = Engine(spark, str(tmp_path / "index"), condenser=lambda q: q.select("query_id", F.col("text").alias("query")), rewriter=lambda d: d.select("query_id", F.lit("when was the boiler scrapped").alias("query")))
+    assert {r.query_id: r.status for r in retry.answer(far.filter("query_id = 2"), folder=str(library)).collect()} == {2: "no_llm"}
     said = Engine(spark, str(tmp_path / "index"), answerer=lambda g: g.select("query_id", F.concat(F.lit("So it is 【1】. "), F.col("excerpts")).alias("answer")))
     a = {r.query_id: r for r in said.answer(q.filter("query_id < 3"), folder=str(library)).collect()}
     assert a[1].answer.startswith("So it is [1]. [1] notes.txt — BOILER ROOM NOTES\n") and 1 in a[1].cited and a[2].answer is None
