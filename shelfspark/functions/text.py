@@ -77,7 +77,9 @@ def is_heading(line: Column) -> Column:
     known = F.regexp_replace(F.lower(core), ":+$", "").isin(KNOWN_SECTIONS)
     capitals = (letters >= 4) & (n_words(core) >= 2) & (letters >= 0.7 * solid) & (_count(s, r"\p{Lu}") > 0.9 * letters)
     numbered = s.rlike(NUMBERED) & core.rlike(r"^\p{Lu}") & (n_words(core) <= 8)
-    fits = (F.length(s) >= 3) & (F.length(s) <= 90) & (letters >= 3) & (n_words(s) <= 12) & ~s.rlike("[.,;]$") & (letters >= 0.5 * solid)
+    # the cheap tests come first: most lines are running text and need no more
+    short = (F.length(line) <= 90) | (F.length(s) <= 90)
+    fits = short & (F.length(s) >= 3) & ~s.rlike("[.,;]$") & (F.length(s) <= 90) & (letters >= 3) & (n_words(s) <= 12) & (letters >= 0.5 * solid)
     return fits & (known | capitals | numbered)
 
 
