@@ -34,7 +34,7 @@ RECALL = 0.9
 #: side, or four times a usual bucket. Only in dense clusters is that less than the bucket.
 WINDOW = 128
 
-#: A bucket with this share of the sample is split by further bits of the code.
+#: The share of the rows from which a class of equal vectors is broadcast.
 HOT = 1 / 512
 
 #: Bits of code, beside the substrings, by which candidates are filtered, and standard deviations allowed.
@@ -54,8 +54,6 @@ class Plan:
     radius: int
     window: int
     rotations: np.ndarray
-    hot: tuple[int, ...]
-    sub_bits: int
 
 
 def plan(n: int, dim: int, cosine: float, sample: np.ndarray, recall: float = RECALL, seed: int = 7) -> Plan:
@@ -66,13 +64,7 @@ def plan(n: int, dim: int, cosine: float, sample: np.ndarray, recall: float = RE
     rotations = learn(sample, math.ceil(bits * tables / dim) + math.ceil(FILTER_BITS / dim), dim, seed)
     radius = math.ceil(FILTER_BITS * (1 - same) + DEVIATIONS * math.sqrt(FILTER_BITS * same * (1 - same)))
     window = max(WINDOW, 4 * n >> bits)
-    hot: list[int] = []
-    if len(sample):
-        keys, _, _ = substrings(codes(sample, rotations), bits, tables)
-        for t in range(tables):
-            k, c = np.unique(keys[:, t], return_counts=True)
-            hot += k[c >= max(8, HOT * len(sample))].tolist()
-    return Plan(bits, tables, radius, window, rotations, tuple(hot), min(14, max(1, math.ceil(math.log2(max(2, n * HOT / window))))))
+    return Plan(bits, tables, radius, window, rotations)
 
 
 def learn(sample: np.ndarray, count: int, dim: int, seed: int) -> np.ndarray:
@@ -157,18 +149,14 @@ def neighbours(df: DataFrame, k: int = 10, cosine: float = 0.9, dim: int = 64, i
         import pyarrow as pa
 
         p = shared.value
-        hot = np.array(sorted(p.hot), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             bit = np.unpackbits(raw, axis=1)[:, : len(p.rotations) * dim]
             keys, rest, more = substrings(bit, p.bits, p.tables)
-            sub = np.zeros_like(keys)
-            if len(hot):
-                sub = np.where(np.isin(keys, hot), (rest >> np.uint64(64 - p.sub_bits)).astype(np.int64)[:, None] + 1, 0)
             ids = np.asarray(batch.column(0))
-            columns = [(keys | sub << 48).ravel(), *(np.repeat(c, p.tables) for c in (rest.view(np.int64), more.view(np.int64), ids))]
+            columns = [keys.ravel(), *(np.repeat(c, p.tables) for c in (rest.view(np.int64), more.view(np.int64), ids))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "rest", "more", "id"])
 
     def meet(batches):

@@ -64,3 +64,36 @@ def test_pigeonhole(spark):
     assert (keys[0] == keys[1]).any()
     p = nb.plan(10**9, 64, 0.9, np.zeros((0, 64)))
     assert p.bits <= 32 and p.tables < 256 and len(p.rotations) * 64 >= p.bits * p.tables + nb.FILTER_BITS
+
+
+def true_pairs(x, k, cosine):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    return {(i, int(j)) for i, row in enumerate(s) for j in np.argsort(-row)[:k] if row[j] >= cosine}
+
+
+def dense_rows(rng, size, others, near=0.95):
+    """A cluster at cosine `near` to its centre, and other rows."""
+    centre = rng.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+    noise = rng.standard_normal((size, 64))
+    noise -= np.outer(noise @ centre, centre)
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    return np.concatenate([near * centre + np.sqrt(1 - near**2) * noise, rng.standard_normal((others, 64))]).astype(np.float32)
+
+
+def test_hot_buckets_are_not_split(spark, monkeypatch):
+    monkeypatch.setattr(nb, "WINDOW", 2000)  # so that a bucket is compared whole
+    real = nb.substrings
+
+    def differing(*args):
+        """Every other row differs in the first of the further bits."""
+        keys, rest, more = real(*args)
+        return keys, rest ^ (np.arange(len(rest), dtype=np.uint64) % np.uint64(2) << np.uint64(63)), more
+
+    monkeypatch.setattr(nb, "substrings", differing)
+    x = dense_rows(np.random.default_rng(12), 800, 1600, 0.98)
+    true = true_pairs(x, 10, 0.9)
+    got = {(r.id, r.other) for r in nb.neighbours(frame(spark, list(enumerate(x)))).collect()}
+    assert len(got & true) >= 0.97 * len(true) and len(true) >= 8000
