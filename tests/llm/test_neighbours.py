@@ -97,3 +97,10 @@ def test_hot_buckets_are_not_split(spark, monkeypatch):
     true = true_pairs(x, 10, 0.9)
     got = {(r.id, r.other) for r in nb.neighbours(frame(spark, list(enumerate(x)))).collect()}
     assert len(got & true) >= 0.97 * len(true) and len(true) >= 8000
+
+
+def test_recall_in_one_dense_cluster_of_a_third_of_the_rows(spark):
+    x = dense_rows(np.random.default_rng(10), 2500, 5000)
+    true = true_pairs(x, 10, 0.9)
+    got = {(r.id, r.other) for r in nb.neighbours(frame(spark, list(enumerate(x)))).collect()}
+    assert len(got & true) >= 0.9 * len(true) and len(true) >= 25_000
