@@ -219,6 +219,16 @@ def neighbours(df: DataFrame, k: int = 10, cosine: float = 0.9, dim: int = 64, i
     return top.unionByName(_copies(marked.filter("hot"), first, k, True)).unionByName(_copies(other, other.filter(F.col("r") <= k + 1), k, False))
 
 
+def exact_neighbours(df: DataFrame, k: int = 10, dim: int = 64, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, other, cosine): for every usable vector its k most similar others, however far; fewer only if there are fewer.
+
+    All pairs of vectors are compared, so the work grows with the square of the rows: neighbours of no least
+    similarity have no index that beats this for less than an approximation. Odd input as in `neighbours`.
+    """
+    vectors = unit_vectors(df, id_col, vector_col, dim).groupBy("id").agg(F.first("v").alias("v"))
+    return _best(blocked(vectors.withColumn("grp", F.lit(0).cast("long")), k, -2.0, dim), k)
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("n") <= k).drop("n")
 

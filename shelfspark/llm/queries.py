@@ -10,11 +10,11 @@ from shelfspark.util import table
 
 
 def p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbours.neighbours(table(spark, sf, "chunks"))
+    return neighbours.exact_neighbours(table(spark, sf, "chunks"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbours.similar_pairs(p3_neighbours(spark, sf))
+    return neighbours.similar_pairs(neighbours.neighbours(table(spark, sf, "chunks")))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -104,3 +104,12 @@ def test_recall_in_one_dense_cluster_of_a_third_of_the_rows(spark):
     true = true_pairs(x, 10, 0.9)
     got = {(r.id, r.other) for r in nb.neighbours(frame(spark, list(enumerate(x)))).collect()}
     assert len(got & true) >= 0.9 * len(true) and len(true) >= 25_000
+
+
+def test_every_vector_has_its_k_most_similar(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((1500, 64)).astype(np.float32)
+    got = {(r.id, r.other) for r in nb.exact_neighbours(frame(spark, [*enumerate(x), (0, x[0]), (9999, None)])).collect()}
+    assert got == true_pairs(x.astype(np.float64), 10, -1) and len(got) == 15_000
+    blocks = nb.blocked(nb.unit_vectors(frame(spark, list(enumerate(x))), "chunk_id", "embedding", 64).selectExpr("0L as grp", "id", "v"), 10, -2.0, 64, 400)
+    assert {(r.id, r.other) for r in nb._best(blocks, 10).collect()} == got
