@@ -19,8 +19,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words and running lines are kept if they make up this share of all of them, so at most 1/SHARE are broadcast.
-WORD_SHARE, LINE_SHARE, LEAST = 1e-6, 5e-6, 3
+#: A word is known if it stands so often, whatever the size of the table.
+LEAST = 3
 
 #: A short line is a running line if it stands at this rate where one would.
 LINE_RATE = 0.25
@@ -486,8 +486,8 @@ def _compound(body: str) -> bool:
 def statistics(chunks: DataFrame) -> tuple[dict[str, int], set[str]]:
     """Words with their counts and the skeletons of running lines, over all texts.
 
-    Counts are combined in each task, then by key. What comes to the driver is bounded: a word must make up
-    WORD_SHARE of all words, a line LINE_SHARE of all short lines.
+    Counts are combined in each task, then by key. A word must stand LEAST times, a line twice as a running line
+    and at LINE_RATE; neither depends on the size of the table. So what comes to the driver grows with the vocabulary.
     """
 
     def run(batches):
@@ -508,9 +508,7 @@ def statistics(chunks: DataFrame) -> tuple[dict[str, int], set[str]]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
 
     counted = chunks.select("text").mapInArrow(run, "kind string, key string, n long, m long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    all_ = counted.filter("kind = 't'").select(F.col("n").alias("words"), F.col("m").alias("lines"))
-    kept = counted.filter("kind <> 't'").crossJoin(F.broadcast(all_))  # one row on the right
-    kept = kept.filter(F.when(F.col("kind") == "w", F.col("n") >= F.greatest(F.lit(LEAST), F.col("words") * WORD_SHARE)).otherwise((F.col("n") >= F.col("lines") * LINE_SHARE) & (F.col("m") >= 2) & (F.col("m") >= LINE_RATE * F.col("n"))))
+    kept = counted.filter((F.col("kind") == "w") & (F.col("n") >= LEAST) | (F.col("kind") == "l") & (F.col("m") >= 2) & (F.col("m") >= LINE_RATE * F.col("n")))
     words: dict[str, int] = {}
     headers: set[str] = set()
     for r in kept.select("kind", "key", "n").toLocalIterator():

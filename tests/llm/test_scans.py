@@ -110,3 +110,10 @@ def test_tables(spark, corpus):
     fixed = sc.repaired(df).collect()
     assert len(fixed) == len(rows) - 2 and {r.chunk_id: r.text for r in fixed}[2002] == ""
     assert sc.damaged_lines(df.limit(0)).count() == 0 and sc.repaired(df.limit(0)).count() == 0
+
+
+def test_what_is_known_does_not_depend_on_the_size_of_the_table(spark):
+    many = spark.range(5).selectExpr("repeat('timber ', 1000000) as text")
+    few = spark.createDataFrame([("the ledger lay beside the timber under the gate",)] * 4, "text string")
+    words, _ = sc.statistics(many.unionByName(few))
+    assert words["timber"] == 5_000_004 and words["ledger"] == 4
