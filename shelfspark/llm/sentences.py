@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfspark.util import bounded_sample
@@ -27,6 +28,9 @@ from shelfspark.util import bounded_sample
 #: Documents the model is trained on, rounds of training, penalty, and the least chance of a boundary.
 SAMPLE, ROUNDS, PENALTY, LEAST = 10_000, 300, 0.3, 0.12
 
+#: Kinds of examples taken of an abbreviation that no document of the sample has.
+PER_TOKEN = 32
+
 #: Decisions kept by a worker; beyond it the table is emptied and fills again.
 KEPT = 500_000
 
@@ -184,21 +188,43 @@ class Model:
         return self.score(feats) > self.cut
 
 
-def dotted_tokens(texts: list[str], share: float = 0.9) -> set[str]:
-    """Tokens of which at least `share` of the occurrences end in a full stop."""
-    stopped: Counter = Counter()
-    plain: Counter = Counter()
+def stops(texts: Iterable[str]) -> dict[str, list[int]]:
+    """How often each token stands, and how often of that with a full stop: [with, all]."""
+    counted: Counter = Counter()
     for text in texts:
         for word in text.split():
             bare = word.rstrip(",;:!?\"”’“»)]…")
-            (stopped if bare[-1:] == "." else plain)[bare.rstrip(".")] += 1
-    total: Counter = Counter()
-    with_stop: Counter = Counter()
-    for word, n in stopped.items():
-        with_stop[_token(word)] += n
-    for word, n in (stopped + plain).items():
-        total[_token(word)] += n
-    return {t for t, n in with_stop.items() if n >= share * total[t] and n > 1}
+            counted[bare.rstrip("."), bare[-1:] == "."] += 1
+    out: dict[str, list[int]] = {}
+    for (word, stopped), n in counted.items():
+        one = out.setdefault(_token(word), [0, 0])
+        one[0] += n if stopped else 0
+        one[1] += n
+    return out
+
+
+def dotted_tokens(texts: Iterable[str], share: float = 0.9) -> set[str]:
+    """Tokens of which at least `share` of the occurrences end in a full stop."""
+    return {t for t, (n, total) in stops(texts).items() if n >= share * total and n > 1}
+
+
+def all_dotted_tokens(documents: DataFrame, share: float = 0.9) -> set[str]:
+    """`dotted_tokens` of all documents: counted in each task, then by token.
+
+    What comes to the driver are the tokens that hardly ever stand without a full stop; their number grows with
+    the vocabulary, not with the rows.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            counted = stops(t for t in batch.column(0).to_pylist() if t)
+            columns = [pa.array(list(counted), pa.string()), *(pa.array([c[i] for c in counted.values()], pa.int64()) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "n", "total"])
+
+    counted = documents.select("text").mapInArrow(run, "token string, n long, total long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return {r.token for r in counted.filter((F.col("n") > 1) & (F.col("n") >= F.lit(share) * F.col("total"))).select("token").toLocalIterator()}
 
 
 def examples(texts: list[str], dotted: set[str]) -> Counter:
@@ -234,10 +260,13 @@ def _spaced(text: str, i: int, j: int) -> bool:
     return c.isupper() and i > 2 and text[i - 1].islower() and text[i - 2].islower() and j + 1 < len(text) and not text[j + 1].isupper()
 
 
-def train(texts: list[str], rounds: int = ROUNDS, penalty: float = PENALTY, least: float = LEAST) -> Model:
-    """Maximum likelihood with a quadratic penalty, by full gradients with a step size for each weight."""
-    dotted = dotted_tokens(texts)
-    counted = examples(texts, dotted)
+def train(texts: list[str], rounds: int = ROUNDS, penalty: float = PENALTY, least: float = LEAST, dotted: set[str] | None = None, further: Counter | None = None) -> Model:
+    """Maximum likelihood with a quadratic penalty, by full gradients with a step size for each weight.
+
+    dotted: the dotted tokens of all texts; those of the texts trained on if not given. further: examples added.
+    """
+    dotted = dotted_tokens(texts) if dotted is None else dotted
+    counted = examples(texts, dotted) + (further or Counter())
     names = {f: i for i, f in enumerate(dict.fromkeys(f for feats, _ in counted for f in feats))}
     if not names:
         return Model({}, 1.0, 0.0, dotted)
@@ -312,6 +341,35 @@ def training_texts(documents: DataFrame, sample: int = SAMPLE) -> list[str]:
     return [r.text for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
 
 
+def rare_examples(documents: DataFrame, texts: list[str], dotted: set[str], most: int = PER_TOKEN) -> Counter:
+    """Examples of the dotted tokens that `texts` has none of: the `most` commonest of each token, over all documents."""
+    unseen = {f"l={t}" for t in dotted} - {feats[0] for feats, _ in examples(texts, dotted)}
+    if not unseen:
+        return Counter()
+    shared = documents.sparkSession.sparkContext.broadcast((dotted, unseen))
+
+    def run(batches):
+        import pyarrow as pa
+
+        dotted, unseen = shared.value
+        for batch in batches:
+            counted = examples([t for t in batch.column(0).to_pylist() if t], dotted)
+            rows = [(feats[0], list(feats), certain, n) for (feats, certain), n in counted.items() if feats[0] in unseen]
+            columns = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.list_(pa.string()), pa.bool_(), pa.int64()))], names=["token", "feats", "certain", "n"])
+
+    counted = documents.select("text").mapInArrow(run, "token string, feats array<string>, certain boolean, n long").groupBy("token", "feats", "certain").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(W.partitionBy("token").orderBy(F.desc("n"), "feats", "certain"))
+    kept = counted.withColumn("place", place).filter(F.col("place") <= most)
+    return Counter({(tuple(r.feats), r.certain): r.n for r in sorted(kept.collect(), key=lambda r: (r.feats, r.certain))})
+
+
+def corpus_model(documents: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fitted to a sample, with the dotted tokens of all documents and examples of each."""
+    texts, dotted = training_texts(documents, sample), all_dotted_tokens(documents)
+    return train(texts, dotted=dotted, further=rare_examples(documents, texts, dotted))
+
+
 _SPLITTERS: dict[str, Splitter] = {}
 
 
@@ -320,12 +378,12 @@ def sentences(documents: DataFrame, with_text: bool = False, sample: int = SAMPL
 
     A heading alone on its line is a unit, so is a list item with its marker; Thai is parted at blanks; the
     last unit may lack a mark. Null and blank texts have no rows. Documents that stand twice are read twice.
-    The model comes from a bounded sample; every text is read whole. There is no shuffle of texts.
+    The model is fitted to a bounded sample, its list of abbreviations counted over all texts; every text is read whole. There is no shuffle of texts.
     """
     spark = documents.sparkSession
     import uuid
 
-    model = spark.sparkContext.broadcast(train(training_texts(documents, sample)))
+    model = spark.sparkContext.broadcast(corpus_model(documents, sample))
     token = uuid.uuid4().hex
     schema = "doc_id long, n int, start_pos int, end_pos int, sentence string" if with_text else "doc_id long, end_pos int"
 

@@ -105,3 +105,12 @@ def test_tables(spark):
     full = se.sentences(df, with_text=True).filter("doc_id = 3").orderBy("n").collect()
     assert [r.sentence for r in full] == [TRAIN[3][r.start_pos : r.end_pos] for r in full] and len(full) > 8
     assert se.sentences(df.limit(0)).count() == 0
+
+
+def test_abbreviations_are_counted_over_all_documents(spark):
+    outside = [r.id for r in spark.range(1000, 1400).selectExpr("id", "xxhash64(id) as h").orderBy("h", ascending=False).limit(20).collect()]
+    rows = [*enumerate(TRAIN)] + [(i, f"Kapt. {n} closed the gate. We met Kapt. {n}. The pump was tested.") for i, n in zip(outside, NAMES * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not any("Kapt." in t for t in se.training_texts(df, 200))
+    got = [r.sentence for r in se.sentences(df, with_text=True, sample=200).filter("doc_id >= 1000").collect()]
+    assert len(got) == 60 and "Kapt." not in got
