@@ -392,7 +392,7 @@ def ocr_plan(spark, sf):
 def layout_lines(spark, sf):
     """Two-column pages made up from the documents' words, read back in order."""
     words = F.filter(F.split(F.regexp_replace("text", tx.WS + "+", " "), " "), lambda w: w != "")
-    pages = _documents(spark, sf).select(F.col("doc_id").alias("file_id"), F.lit(1).alias("page"), words.alias("w")).filter("size(w) > 40")
+    pages = _documents(spark, sf).select(F.col("doc_id").alias("file_id"), F.lit(1).alias("page"), words.alias("w"))
     place = lambda w, i: F.struct((100.0 + 420 * (i % 2)).alias("x0"), (100.0 + 30 * F.floor(i / 2)).cast("double").alias("y0"), (480.0 + 420 * (i % 2)).alias("x1"), (120.0 + 30 * F.floor(i / 2)).cast("double").alias("y1"), w.alias("text"))
     return layout.layout_lines(pages.select("file_id", "page", F.transform("w", place).alias("boxes")))
 

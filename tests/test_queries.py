@@ -30,3 +30,9 @@ def test_query_runs(spark, name):
 def test_entry(spark):
     assert set(SQL) <= set(OWN) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["table_name", "row_id", "kind"]
+
+
+def test_layout_lines_has_short_pages_too(spark):
+    text = spark.read.parquet(f"{SF}/documents.parquet").filter(r"text rlike '\\p{L}'").select("doc_id")
+    got = OWN["layout_lines"](spark, SF).select("file_id").distinct()
+    assert text.join(got, text.doc_id == got.file_id, "left_anti").count() == 0
