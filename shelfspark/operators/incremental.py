@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +53,10 @@ class VersionedTarget:
         info = self.info(have[-1] if version is None else version)
         return self.spark.read.schema(info["schema"]).parquet(info["data"])
 
+    def labels(self) -> Iterator[tuple[int, str | None]]:
+        """(version, label), the newest first."""
+        return ((v, self.info(v)["label"]) for v in reversed(self.versions()))
+
     def publish(self, df: DataFrame, label: str | None = None, expect: int | None = None) -> int:
         """Write `df` as the next version. `expect`: the version this work was based on (0: none)."""
         base = (self.versions() or [0])[-1]
@@ -131,10 +135,13 @@ def run_once(target: VersionedTarget, seen: DataFrame, source: Source, label: st
     made = (process(todo) if process else todo).withColumn("changed", F.lit(True))
     if state is not None:
         old = state.drop("changed")
-        kept = old.alias("o").join(todo.select(*source.key).alias("t"), list(source.key), "left_anti")
-        if not keep_unseen:
-            kept = kept.join(seen.select(*source.key), list(source.key), "left_semi")
-        made = made.unionByName(kept.withColumn("changed", F.lit(False)), allowMissingColumns=True)
+        kept = old.join(todo.select(*source.key), list(source.key), "left_anti")
+        # small differences must not add up over the runs: what was seen is what the next run compares with
+        now = seen.select(*source.key, F.struct(*(F.col(c) for c, _ in source.close), F.lit(True).alias("_there")).alias("_now"))
+        kept = kept.join(now, list(source.key), "left" if keep_unseen else "inner")
+        for c, _ in source.close:
+            kept = kept.withColumn(c, F.when(F.col("_now._there"), F.col(f"_now.{c}")).otherwise(F.col(c)))
+        made = made.unionByName(kept.select(old.columns).withColumn("changed", F.lit(False)), allowMissingColumns=True)
     return target.publish(made, label, expect=base)
 
 
@@ -156,21 +163,28 @@ def seen_files(entries: DataFrame) -> DataFrame:
 def replay_runs(files: DataFrame, runs: DataFrame, entries: DataFrame, root: str) -> DataFrame:
     """(run_id, path_key) of every file that a successful run had to process.
 
-    The runs table has one row per run over the library, so its ids come to the driver; files and
-    entries never do. Runs in another state than `done` are not replayed: they published nothing.
-    A row kept from the state carries the mtime of this run, since the known state is what it saw.
+    Each run publishes one version under its own label, so a replay that died is taken up behind its last version:
+    what was published is read, not done again, and the start state is written once. Runs in another state than
+    `done` are not replayed: they published nothing. A row kept from the state carries the mtime of this run,
+    since the known state is what it saw.
+
+    The runs table has one row per run over the library, so its ids come to the driver; files and entries never do.
     """
     spark = files.sparkSession
     target = VersionedTarget(spark, root)
-    target.publish(known_files(files).withColumn("changed", F.lit(False)), label="start")
+    made = {label: version for version, label in target.labels()}
+    if "start" not in made:
+        target.publish(known_files(files).withColumn("changed", F.lit(False)), label="start", expect=0)
     done = [r.run_id for r in runs.filter("state = 'done' and run_id is not null").select("run_id").distinct().orderBy("run_id").collect()]
     out = None
     for run in done:
-        seen = seen_files(entries.filter(F.col("run_id") == run))
-        base = target.versions()[-1]
-        todo = changed(seen, target.read(), FILES).select("path_key").withColumn("changed", F.lit(True))
-        state = seen.join(todo, "path_key", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
-        version = target.publish(state, label=str(run), expect=base)
+        version = made.get(str(run))
+        if version is None:
+            seen = seen_files(entries.filter(F.col("run_id") == run))
+            base = target.versions()[-1]
+            todo = changed(seen, target.read(base), FILES).select("path_key").withColumn("changed", F.lit(True))
+            state = seen.join(todo, "path_key", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
+            version = target.publish(state, label=str(run), expect=base)
         found = target.read(version).filter("changed").select(F.lit(run).cast("long").alias("run_id"), "path_key")
         out = found if out is None else out.unionByName(found)
     if out is None:
