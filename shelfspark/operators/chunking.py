@@ -1,11 +1,17 @@
-"""Overlapping chunks of whole sentences that begin anew at headings."""
+"""Overlapping chunks of whole sentences that begin anew at headings.
+
+A document is a row of units, sentences and headings, with the sums of their lengths before each. A chunk is a run
+of units from one place to another, so cutting is a walk over places: where a run must end follows from the sums,
+and where the next begins is a search in them.
+"""
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from itertools import accumulate
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +26,7 @@ _BOUNDARY = re.compile(r"(?<=[.!?])\s+(?=[\"'(\[]?[A-Z0-9])")
 CHUNK_SCHEMA = "ordinal int, text string, section string, page_start int, page_end int, ocr boolean"
 
 
-@dataclass
-class Unit:
+class Unit(NamedTuple):
     """A sentence or a heading, with where it stands."""
 
     text: str
@@ -31,52 +36,59 @@ class Unit:
     ocr: bool = False
 
 
-def fitted(sentence: str, limit: int) -> Iterator[str]:
-    """A sentence in parts of at most `limit`, at words where it can be."""
+def fitted(sentence: str, limit: int) -> list[str]:
+    """A sentence in parts of at most `limit`, at words where it can be; words beyond the limit are cut."""
     if len(sentence) <= limit:
-        yield sentence
-        return
-    line: list[str] = []
-    used = 0
-    for word in sentence.split():
-        if line and used + 1 + len(word) > limit:
-            yield " ".join(line)
-            line, used = [], 0
-        used += len(word) + bool(line)
-        line.append(word)
-        if used > limit:  # one endless word
-            rest = " ".join(line)
-            whole = (len(rest) - 1) // limit
-            yield from (rest[i * limit : (i + 1) * limit] for i in range(whole))
-            line, used = [rest[whole * limit :]], len(rest) - whole * limit
-    if line:
-        yield " ".join(line)
-
-
-def units(segments: Iterable[tuple[str, bool, int | None, bool]], limit: int) -> Iterator[Unit]:
+        return [sentence]
+    words = [w[i : i + limit] for w in sentence.split() for i in range(0, len(w), limit)]
+    ends = list(accumulate(len(w) + 1 for w in words))  # each with the blank behind it
+    out, at = [], 0
+    while at < len(words):
+        begin = ends[at - 1] if at else 0
+        stop = bisect_right(ends, begin + limit + 1)
+        out.append(" ".join(words[at:stop]))
+        at = stop
+    return out
+
+
+def units(segments: Iterable[tuple[str, bool, int | None, bool]], limit: int) -> list[Unit]:
     """Headings and sentences of (text, is_heading, page, ocr)."""
+    out: list[Unit] = []
     section = None
     for text, heading, page, ocr in segments:
-        if heading:
-            section = text[:SECTION_CHARS]
-            yield Unit(text, page, section, True, ocr)
-            continue
-        for sentence in _BOUNDARY.split(text):
-            if sentence := sentence.strip():
-                for part in fitted(sentence, limit):
-                    yield Unit(part, page, section, False, ocr)
-
-
-def _as_text(held: Iterable[Unit]) -> str:
-    parts: list[str] = []
-    fresh = True
-    for u in held:
-        if u.heading:
-            parts += ["\n", u.text, "\n"]
-        else:
-            parts += [u.text] if fresh else [" ", u.text]
-        fresh = u.heading
-    return "".join(parts).strip()
+        section = text[:SECTION_CHARS] if heading else section
+        parts = [text] if heading else [p for s in map(str.strip, _BOUNDARY.split(text)) if s for p in fitted(s, limit)]
+        out += (Unit(p, page, section, heading, ocr) for p in parts)
+    return out
+
+
+def runs(found: list[Unit], size: int, overlap: int, least: int) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of the units of each chunk. See `chunks`."""
+    sums = list(accumulate((len(u.text) + 1 for u in found), initial=0))
+    headings = [i for i, u in enumerate(found) if u.heading]
+    first = fresh = 0  # where the chunk begins, and where what no chunk had before begins
+    for i, u in enumerate(found):
+        held = sums[i] - sums[first]
+        starts = u.heading and held >= least
+        drops = u.heading and first < i == fresh  # there is nothing but overlap before the heading
+        over = first < i and sums[i + 1] - sums[first] > size
+        if starts or over and not drops:
+            yield first, i
+        if starts or drops:
+            first = fresh = i
+        elif over:
+            behind = bisect_left(headings, i)
+            first = max(headings[behind - 1] + 1 if behind else 0, first, bisect_left(sums, sums[i] - 1 - overlap, 0, i))
+            fresh = i
+    yield first, len(found)
+
+
+def _chunk(part: list[Unit]) -> tuple:
+    """(text, section, page_start, page_end, ocr): a heading stands on a line of its own, sentences after a blank."""
+    text = "".join(f"\n{u.text}\n" if u.heading else u.text if not k or part[k - 1].heading else f" {u.text}" for k, u in enumerate(part)).strip()
+    section = next((u.section for u in reversed(part) if u.heading), None) or next((u.section for u in part if u.section), None)
+    pages = [u.page for u in part if u.page is not None] or [None]
+    return text, section, min(pages), max(pages), any(u.ocr for u in part)
 
 
 def chunks(segments: Iterable[tuple[str, bool, int | None, bool]], size: int = 1000, overlap: int = 150, least: int = 300) -> Iterator[tuple]:
@@ -86,37 +98,9 @@ def chunks(segments: Iterable[tuple[str, bool, int | None, bool]], size: int = 1
     doesn't fit closes the chunk too, and the last units up to the overlap, back to a heading, begin the next.
     Headings alone make no chunk. The section is the last heading's in the chunk, or else the first unit's.
     """
-    held: deque[Unit] = deque()
-    used = repeated = ordinal = 0
-
-    def closed() -> tuple | None:
-        if all(u.heading for u in held):
-            return None
-        pages = [u.page for u in held if u.page is not None]
-        named = [u.section for u in held if u.heading] or [u.section for u in held if u.section][:1]
-        return (ordinal, _as_text(held), named[-1] if named else None, min(pages, default=None), max(pages, default=None), any(u.ocr for u in held))
-
-    for unit in units(segments, max(100, size - overlap)):
-        full = bool(held) and used + len(unit.text) + 1 > size
-        fresh_section = unit.heading and used >= least
-        if fresh_section or full and not (unit.heading and held and len(held) == repeated):
-            if done := closed():
-                yield done
-                ordinal += 1
-        if fresh_section or unit.heading and held and len(held) == repeated:
-            held.clear()
-            used = repeated = 0
-        elif full:
-            tail: deque[Unit] = deque()
-            kept = 0
-            while held and not held[-1].heading and kept + len(held[-1].text) <= overlap:
-                kept += len(held[-1].text) + 1
-                tail.appendleft(held.pop())
-            held, used, repeated = tail, kept, len(tail)
-        held.append(unit)
-        used += len(unit.text) + 1
-    if held and (done := closed()):
-        yield done
+    found = units(segments, max(100, size - overlap))
+    parts = (found[a:b] for a, b in runs(found, size, overlap, least))
+    return ((n, *_chunk(p)) for n, p in enumerate(p for p in parts if not all(u.heading for u in p)))
 
 
 def chunk_segments(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

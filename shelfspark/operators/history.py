@@ -66,7 +66,7 @@ def titles(messages: DataFrame) -> DataFrame:
     """(session_id, title): the first question of each session, cut to a title. Sessions without one are missing."""
     from shelfspark.functions.text import chat_title
 
-    asked = messages.filter((F.col("role") == "user") & F.col("session_id").isNotNull() & ~is_blank(F.col("content")))
+    asked = messages.filter((view_role(F.col("role")) == "user") & F.col("session_id").isNotNull() & ~is_blank(F.col("content")))
     first = asked.groupBy("session_id").agg(F.min(F.struct("id", "content")).alias("f"))
     return first.select("session_id", chat_title(F.col("f.content")).alias("title"))
 

@@ -11,7 +11,7 @@ from shelfspark.functions import text as tx
 from shelfspark.operators import chunking, history, layout, library, metrics, passages, search
 from shelfspark.plans import engine
 from shelfspark.plans.sql import ORACLE  # noqa: F401
-from shelfspark.util import table
+from shelfspark.util import numbered, table
 
 QUERIES: dict = {}
 
@@ -265,11 +265,12 @@ def edge_chunks(spark, sf):
 
 @query
 def page_answers(spark, sf):
-    """Page questions, each put to the file whose id follows from its own: what can be said before reading."""
-    m = table(spark, sf, "messages").filter("content is not null and role = 'user'").select("id", "content").distinct()
-    target = _files(spark, sf).select("file_id", "path_key")
-    q = m.withColumn("file_id", F.col("id") % 400 + 1).join(target, "file_id").select(F.col("id").alias("query_id"), "path_key", ask.page_reference(F.col("content")).alias("wanted"))
-    a = passages.page_answers(q, _files(spark, sf))
+    """Page questions, each put to the file whose number follows from its own: what can be said before reading."""
+    m = table(spark, sf, "messages").filter("content is not null").select("id", "content").distinct()
+    files = _files(spark, sf)
+    last = F.broadcast(files.agg(F.max("file_id").alias("last")))  # one row
+    q = m.crossJoin(last).withColumn("file_id", F.col("id") % F.col("last") + 1).join(files.select("file_id", "path_key"), "file_id")
+    a = passages.page_answers(q.select(F.col("id").alias("query_id"), "path_key", ask.page_reference(F.col("content")).alias("wanted")), files)
     return a.withColumn("pages", F.array_join(F.transform("pages", lambda p: p.cast("string")), ","))
 
 
@@ -352,9 +353,9 @@ def session_titles(spark, sf):
 
 
 def _hits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Titles of sessions about a file as questions, with that file as the truth."""
+    """Chunks as questions, with their file as the truth and their whole text as the reference."""
     s = table(spark, sf, "chunks").filter("chunk_id % 50 = 0 and file_id is not null and text is not null").select("chunk_id", "file_id", "text").distinct()
-    truth = s.join(_files(spark, sf).select("file_id", "path_key"), "file_id").select(F.col("chunk_id").alias("query_id"), "path_key", F.substring("text", 1, 200).alias("reference"))
+    truth = s.join(_files(spark, sf).select("file_id", "path_key"), "file_id").select(F.col("chunk_id").alias("query_id"), "path_key", F.col("text").alias("reference"))
     docs = _docs(spark, sf)
     hits = search.bm25(docs, truth.select("query_id", tx.search_tokens(F.col("reference")).alias("terms")), 6)
     return hits.join(docs.select("chunk_id", "path_key", "text"), "chunk_id"), truth
@@ -372,10 +373,11 @@ def retrieval_totals(spark, sf):
 
 @query
 def rouge_l(spark, sf):
-    m = table(spark, sf, "messages").filter("content is not null and session_id is not null")
-    a = m.filter("role = 'user'").groupBy("session_id").agg(F.min_by("content", "id").alias("q"))
-    b = m.filter("role = 'ai'").groupBy("session_id").agg(F.min_by("content", "id").alias("a"))
-    return a.join(b, "session_id").select("session_id", metrics.rouge_l(F.col("a"), F.col("q")).alias("score"))
+    """Every message against the one before it in its session."""
+    m = table(spark, sf, "messages").filter("content is not null and session_id is not null").select("id", "session_id", "content").distinct()
+    n = numbered(m, "session_id", [F.col("id"), F.col("content")], F.floor(F.col("id") / 4096), "n")
+    before = n.select("session_id", (F.col("n") + 1).alias("n"), F.col("content").alias("before"))
+    return n.join(before, ["session_id", "n"]).select("session_id", "n", metrics.rouge_l(F.col("content"), F.col("before")).alias("score"))
 
 
 @query

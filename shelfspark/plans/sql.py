@@ -126,25 +126,30 @@ def label(first: str, last: str) -> str:
 
 # page references: Java's patterns, with the sign of a word's edge as DuckDB has it
 def _num(t: str) -> str:
-    pairs = " ".join(f"when '{a}' then {i + 1} when '{b}' then {i + 1}" for i, (a, b) in enumerate(zip(ask.CARDINALS, ask.ORDINALS)))
+    pairs = " ".join(f"when '{word}' then {n}" for word, n in ask.NUMBERS.items())
     return f"case {t} {pairs} else try_cast({rr(t, chr(92) + 'D')} as integer) end"
 
 
-def _get(pattern: str, group: int = 1) -> str:
-    return f"regexp_extract(u, {q(pattern)}, {group})"
+def _get(name: str, group: int = 1) -> str:
+    return _num(f"regexp_extract(u, {q(ask.PAGES[name])}, {group})")
 
 
-_R1, _R2 = f"try_cast({_get(ask.RANGE)} as integer)", f"try_cast({_get(ask.RANGE, 2)} as integer)"
-_P1, _P2 = f"try_cast({_get(ask.PAIR)} as integer)", f"try_cast({_get(ask.PAIR, 2)} as integer)"
-
-PAGES = f"""case when {has('u', ask.LAST_N)} then range(-least({_num(_get(ask.LAST_N))}, 10), 0) when {has('u', ask.FIRST_N)} then range(1, least({_num(_get(ask.FIRST_N))}, 10) + 1)
-  when {has('u', ask.RANGE)} then range(least({_R1}, {_R2}), least(greatest({_R1}, {_R2}), least({_R1}, {_R2}) + 9) + 1)
-  when {has('u', ask.PAIR)} then list_sort(list_distinct([{_P1}, {_P2}]))
-  when {has('u', ask.SECOND_LAST)} then [-2] when {has('u', ask.LAST)} then [-1] when {has('u', ask.OPENING)} then [1]
-  when {has('u', ask.NTH)} then [{_num(_get(ask.NTH))}] when {has('u', ask.NUMBERED)} then [try_cast({_get(ask.NUMBERED)} as integer)] end"""
+_LOW, _HIGH = (f"{f}({_get('from to')}, {_get('from to', 2)})" for f in ("least", "greatest"))
+_FOUND = {
+    "last n": f"range(-least({_get('last n')}, 10), 0)",
+    "first n": f"range(1, least({_get('first n')}, 10) + 1)",
+    "from to": f"range({_LOW}, least({_HIGH}, {_LOW} + 9) + 1)",
+    "two": f"list_sort(list_distinct([{_get('two')}, {_get('two', 2)}]))",
+    "last but one": "[-2]",
+    "last": "[-1]",
+    "front": "[1]",
+    "nth": f"[{_get('nth')}]",
+    "number": f"[{_get('number')}]",
+}
+PAGES = "case " + " ".join(f"when {has('u', ask.PAGES[name])} then {found}" for name, found in _FOUND.items()) + " end"
 
-MODE = f"""case when ({PAGES}) is not null then 'pages' when {has('content', '(?i)' + '|'.join(ask.OVERVIEW))} then 'overview'
-  when {has('content', '(?i)' + '|'.join(ask.INVENTORY))} and not {has('content', '(?i)' + ask.CONTENT)} then 'inventory' else 'search' end"""
+MODE = f"""case when ({PAGES}) is not null then 'pages' when {has('content', '(?i)' + ask.OVERVIEW)} then 'overview'
+  when {has('content', '(?i)' + ask.INVENTORY)} and not {has('content', '(?i)' + ask.ABOUT_CONTENT)} then 'inventory' else 'search' end"""
 
 _STATE = "case when status is null then 'not indexed yet' when status = 'indexed' then concat_ws(', ', case when coalesce(num_pages, 0) <> 0 then num_pages || case when num_pages = 1 then ' page' else ' pages' end end, case when coalesce(ocr_pages, 0) <> 0 then case when ocr_pages is not distinct from num_pages then 'read with OCR' else 'partly read with OCR' end end) " + " ".join(f"when status = {q(k)} then {q(v)}" for k, v in STATE_LABELS.items()) + " else status end"
 
@@ -159,7 +164,7 @@ def key_terms(e: str) -> str:
 
 
 _EVAL = f"""{DOCS}, {INDEX},
-truth as (select c.chunk_id as query_id, f.path_key, substr(c.text, 1, 200) as reference from (select distinct chunk_id, file_id, text from chunks where chunk_id % 50 = 0 and file_id is not null and text is not null) c join current_files f using (file_id)),
+truth as (select c.chunk_id as query_id, f.path_key, c.text as reference from (select distinct chunk_id, file_id, text from chunks where chunk_id % 50 = 0 and file_id is not null and text is not null) c join current_files f using (file_id)),
 found as (select r.*, d.path_key as p, d.text from ({best(bm25(terms('truth', 'query_id', 'reference')), 6)}) r join docs d using (chunk_id)),
 per as (select f.query_id, min(case when f.p = t.path_key then rank end) as first, count(*) as n, count(case when f.p = t.path_key then 1 end) as n_right, list_distinct(flatten(list({key_terms('f.text')}))) as found from found f join truth t using (query_id) group by f.query_id),
 metrics as (select t.query_id, p.first is not null as file_hit, round(coalesce(1.0::double / p.first, 0), 4) as mrr, round(coalesce(p.n_right::double / greatest(p.n, 1), 0), 4) as precision,
@@ -240,7 +245,7 @@ ORACLE: dict[str, str] = {
       where 1 between page_start and page_end or f.num_pages between page_start and page_end or f.num_pages // 2 between page_start and page_end qualify n <= 12""",
     "edge_chunks": f"""with {chunk_rows('ordinal')} select file_id, chunk_id, 'first' as edge from chunk_rows qualify row_number() over (partition by file_id order by ordinal nulls first, chunk_id) <= 3
       union all select file_id, chunk_id, 'last' from chunk_rows qualify row_number() over (partition by file_id order by ordinal desc nulls last, chunk_id desc) <= 3""",
-    "page_answers": f"""with {CURRENT}, z as (select m.id as query_id, f.*, {PAGES} as wanted from (select distinct id, content, lower(content) as u from messages where content is not null and role = 'user') m join current_files f on f.file_id = m.id % 400 + 1),
+    "page_answers": f"""with {CURRENT}, z as (select m.id as query_id, f.*, {PAGES} as wanted from (select distinct id, content, lower(content) as u from messages where content is not null) m join current_files f on f.file_id = m.id % (select max(file_id) from current_files) + 1),
       r as (select *, list_sort(list_distinct(list_transform(wanted, lambda p: case when p > 0 then p else num_pages + 1 + p end))) as resolved from z where len(wanted) > 0),
       t as (select *, list_filter(resolved, lambda p: p between 1 and num_pages) as there, case when num_pages is null and (list_max(wanted) < 0 or list_distinct(wanted) = [1]) then case when wanted[1] < 0 then 'last' else 'first' end end as edge from r)
       select query_id, file_id, case when num_pages is not null then array_to_string(there, ',') end as pages, edge, case when num_pages is null then case when edge is null then name || ' has no page numbers (only PDFs and multi-page images do).' end
@@ -263,7 +268,7 @@ ORACLE: dict[str, str] = {
     "messages_view": "with v as (select distinct id, session_id, role, content, created_at, citations from messages) select id, case when role in ('ai', 'assistant') then 'assistant' else 'user' end as role, cast(max(case when json_valid(citations) then json_array_length(citations) else 0 end) as bigint) as n_citations from v group by 1, 2",
     "recent_turns": f"with {_RECENT} select session_id, cast(n as integer) as n, id, role from recent",
     "history_text": f"with {_RECENT} select session_id, md5(string_agg(case role when 'user' then 'User: ' else 'Assistant: ' end || substr(coalesce(content, ''), 1, 600) || case when length(content) > 600 then '…' else '' end, {LF} order by n)) as digest from recent group by session_id",
-    "session_titles": r"select session_id, case when length(c) <= 60 then c else substr(c, 1, 57) || '…' end as title from (select session_id, first(content order by id, content) as c from messages where role = 'user' and session_id is not null and regexp_matches(content, '[^\s\p{Z}\x{85}\x{1c}-\x{1f}\x{200B}\x{FEFF}]') group by session_id)",
+    "session_titles": r"select session_id, case when length(c) <= 60 then c else substr(c, 1, 57) || '…' end as title from (select session_id, first(content order by id, content) as c from messages where coalesce(role, '') not in ('ai', 'assistant') and session_id is not null and regexp_matches(content, '[^\s\p{Z}\x{85}\x{1c}-\x{1f}\x{200B}\x{FEFF}]') group by session_id)",
     "retrieval_metrics": f"with {_EVAL} select * from metrics",
     "retrieval_totals": f"with {_EVAL} select count(*) as queries, round(avg(file_hit::int), 4) as file_hit, round(avg(mrr), 4) as mrr, round(avg(precision), 4) as precision, round(avg(ctx_recall), 4) as ctx_recall from metrics",
     "ocr_plan": f"""with {chunk_rows('text')}, p as (select chunk_id, length(text) as chars, case when chunk_id % 10 < 2 then [] else [{{x0: 0.0::double, y0: 50.0::double, x1: least(100 + 60 * (chunk_id % 10), 612)::double, y1: 500.0::double}}, {{x0: 50.0::double, y0: 700.0::double, x1: 120.0::double, y1: 792.0::double}}] end as boxes from chunk_rows where text is not null),
