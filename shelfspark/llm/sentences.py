@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from shelfspark.util import bounded_sample
 
-#: Documents the model is trained on, rounds of training, penalty, and the least chance of a boundary.
-SAMPLE, ROUNDS, PENALTY, LEAST = 10_000, 300, 0.3, 0.12
+#: Documents the model is trained on and characters of one at most, rounds of training, penalty, and the least chance of a boundary.
+SAMPLE, LONGEST, ROUNDS, PENALTY, LEAST = 10_000, 20_000, 300, 0.3, 0.12
 
 #: Kinds of examples taken of an abbreviation that no document of the sample has.
 PER_TOKEN = 32
@@ -76,7 +76,9 @@ def blocks(text: str) -> Iterator[list[tuple[int, int]]]:
 
 def units(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end): kind is item, heading or text (running text that may hold several sentences)."""
-    for block in blocks(text):
+    found = list(blocks(text))
+    wrap = -1  # found when it is asked for
+    for block in found:
         if len(block) == 1:
             a, b = block[0]
             yield _alone(text, a, b), a, b
@@ -86,7 +88,11 @@ def units(text: str) -> Iterator[tuple[str, int, int]]:
             item = _ITEM.match(text, a, b)
             if item and not ended and text[a].isdigit():
                 item = None  # a number at the start of a wrapped line
-            head = not item and ended and i + 1 < len(block) and _heading(text, a, b, block[i + 1][0])
+            head = not item and ended and i + 1 < len(block) and _may_head(text, a, b, block[i + 1][0])
+            if head:
+                if wrap < 0:
+                    wrap = _wrap(found)
+                head = _broken_off(text, block, i, wrap)
             if item or head or _MARKDOWN.match(text, a, b):
                 if begun >= 0:
                     yield "text", begun, block[i - 1][1]
@@ -103,17 +109,52 @@ def units(text: str) -> Iterator[tuple[str, int, int]]:
 
 def _alone(text: str, a: int, b: int) -> str:
     if _ITEM.match(text, a, b):
-        return "item" if _TERMINAL.search(text, max(a, b - 8), b) or b - a > 60 else "heading"
-    if _MARKDOWN.match(text, a, b) or b - a <= 60 and not _TERMINAL.search(text, max(a, b - 8), b) and not _THAI.search(text, a, b) and not _CANDIDATE.search(text, a + 6, b):
+        return "item" if _TERMINAL.search(text, max(a, b - 8), b) else "heading"
+    if _MARKDOWN.match(text, a, b) or not _TERMINAL.search(text, max(a, b - 8), b) and not _THAI.search(text, a, b) and not _CANDIDATE.search(text, a + 6, b):
         return "heading"
     return "text"
 
 
-def _heading(text: str, a: int, b: int, after: int) -> bool:
-    """A short line without a sentence mark (but for a number's) whose next line doesn't go on in lower case."""
-    if b - a > 60 or text[after].islower() or text[b - 1] in ",;:，、；：،؛-" or _TERMINAL.search(text, max(a, b - 8), b):
+def _may_head(text: str, a: int, b: int, after: int) -> bool:
+    """A line without a sentence mark (but for a number's) whose next line doesn't go on in lower case."""
+    if text[after].islower() or text[b - 1] in ",;:，、；：،؛-" or _TERMINAL.search(text, max(a, b - 8), b):
         return False
-    return text.count(" ", a, b) <= 9 and not _THAI.search(text, a, b) and not _CANDIDATE.search(text, a + 6, b)
+    return not _THAI.search(text, a, b) and not _CANDIDATE.search(text, a + 6, b)
+
+
+#: A line of this share of the widest of its block is full; one of less than the other share is short.
+FULL, SHORT = 0.75, 0.6
+
+
+def _wrap(found: list[list[tuple[int, int]]]) -> int:
+    """The width to which the text's paragraphs are wrapped; 0 if none is: one has two full lines beside its last."""
+    out = 0
+    for block in found:
+        if len(block) > 2:
+            lengths = [b - a for a, b in block]
+            widest = max(lengths)
+            if widest > out and sum(n >= FULL * widest for n in lengths[:-1]) > 1:
+                out = widest
+    return out
+
+
+def _broken_off(text: str, block: list[tuple[int, int]], i: int, wrap: int) -> bool:
+    """The line ends although the next line's first word would have fitted: it stands by itself, whatever its length.
+
+    A short line of its block does; so does the widest of a block that isn't wrapped, unless the text's wrapped
+    paragraphs are so wide, or it breaks off behind a small word or before a number.
+    """
+    a, b = block[i]
+    after, end = block[i + 1]
+    word = 1 if ord(text[after]) > 0x2E80 else len(text[after:end].split(None, 1)[0])
+    lengths = [y - x for x, y in block]
+    widest, need = max(lengths), b - a + 1 + word
+    if need <= SHORT * widest:
+        return True
+    if any(n >= FULL * widest for k, n in enumerate(lengths[:-1]) if k != i):
+        return False
+    last = text[a:b].rsplit(None, 1)[-1]
+    return not wrap and not text[after].isdigit() and not (len(last) < 4 and last.islower()) or need <= FULL * wrap
 
 
 def _shape(token: str) -> str:
@@ -192,17 +233,22 @@ def stops(texts: Iterable[str]) -> dict[str, list[int]]:
     """How often each token stands, and how often of that with a full stop: [with, all]."""
     counted: Counter = Counter()
     for text in texts:
-        for word in text.split():
-            bare = word.rstrip(",;:!?\"”’“»)]…")
-            counted[bare.rstrip("."), bare[-1:] == "."] += 1
+        counted.update(text.split())
     out: dict[str, list[int]] = {}
-    for (word, stopped), n in counted.items():
-        one = out.setdefault(_token(word), [0, 0])
+    for word, n in counted.items():
+        token, stopped = _stopped(word)
+        one = out.setdefault(token, [0, 0])
         one[0] += n if stopped else 0
         one[1] += n
     return out
 
 
+def _stopped(word: str) -> tuple[str, bool]:
+    """The token of a word as it stands in the text, and whether it ends in a full stop."""
+    bare = word.rstrip(",;:!?\"”’“»)]…")
+    return _token(bare.rstrip(".")), bare[-1:] == "."
+
+
 def dotted_tokens(texts: Iterable[str], share: float = 0.9) -> set[str]:
     """Tokens of which at least `share` of the occurrences end in a full stop."""
     return {t for t, (n, total) in stops(texts).items() if n >= share * total and n > 1}
@@ -336,8 +382,8 @@ class Splitter:
 
 
 def training_texts(documents: DataFrame, sample: int = SAMPLE) -> list[str]:
-    """At most `sample` texts, chosen by a hash of their id."""
-    rows = bounded_sample(documents.select("doc_id", "text").filter(F.length("text") > 0), "doc_id", sample)
+    """At most `sample` texts of at most LONGEST characters, chosen by a hash of their id: what the model is fitted to."""
+    rows = bounded_sample(documents.select("doc_id", "text").filter((F.length("text") > 0) & (F.length("text") <= LONGEST)), "doc_id", sample)
     return [r.text for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
 
 
@@ -352,8 +398,19 @@ def rare_examples(documents: DataFrame, texts: list[str], dotted: set[str], most
         import pyarrow as pa
 
         dotted, unseen = shared.value
+        wanted: set[str] = set()  # words of unseen tokens, and all others met
+        others: set[str] = set()
         for batch in batches:
-            counted = examples([t for t in batch.column(0).to_pylist() if t], dotted)
+            texts = []
+            for text in batch.column(0).to_pylist():
+                words = set((text or "").split())
+                for word in words - wanted - others:
+                    (wanted if f"l={_stopped(word)[0]}" in unseen else others).add(word)
+                if not words.isdisjoint(wanted):
+                    texts.append(text)
+                if len(others) > KEPT:
+                    others.clear()
+            counted = examples(texts, dotted)
             rows = [(feats[0], list(feats), certain, n) for (feats, certain), n in counted.items() if feats[0] in unseen]
             columns = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.list_(pa.string()), pa.bool_(), pa.int64()))], names=["token", "feats", "certain", "n"])

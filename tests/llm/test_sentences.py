@@ -114,3 +114,13 @@ def test_abbreviations_are_counted_over_all_documents(spark):
     assert not any("Kapt." in t for t in se.training_texts(df, 200))
     got = [r.sentence for r in se.sentences(df, with_text=True, sample=200).filter("doc_id >= 1000").collect()]
     assert len(got) == 60 and "Kapt." not in got
+
+
+def test_headings_are_told_by_context_not_length():
+    long = "A considerably longer heading that tells of the Tolvik boiler house and of its many repairs"
+    body = "The boiler was checked. Nobody found a fault."
+    assert [k for k, _, _ in se.units(f"{long}\n{body}")] == ["heading", "text"]
+    assert [k for k, _, _ in se.units(f"{long}\n\n{body}")] == ["heading", "text"]
+    wrapped = "The long report on the boiler house and on all of its repairs was sent by the\nTolvik office to the town of Brenn, where it was read by the whole committee at\nHarrow Mill and put away."
+    assert [k for k, _, _ in se.units(wrapped)] == ["text"]
+    assert [k for k, _, _ in se.units(f"{wrapped}\n\nReport of the Tolvik office\n{wrapped}")] == ["text", "heading", "text"]
