@@ -22,6 +22,10 @@ SKIPPED_FOLDERS = ("node_modules", "__pycache__", "venv", ".venv", "site-package
 SEGMENTS = "array<struct<text: string, is_heading: boolean, page: int, ocr: boolean>>"
 
 
+#: Bytes of files a task reads before it hands rows on.
+BATCH_BYTES = 32 << 20
+
+
 class Unreadable(ValueError):
     """A file that its reader can't open."""
 
@@ -128,6 +132,17 @@ def _paragraph(p) -> str:
     return "".join(out)
 
 
+def _bytes(path: str) -> bytes:
+    if re.match(r"[a-z][a-z0-9+.-]+://", path):
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(path)
+        with store.open_input_stream(at) as f:
+            return f.read()
+    with open(path, "rb") as f:
+        return f.read()
+
+
 #: Reads the bytes of a file of a kind: segments (text, is_heading, page, ocr), number of pages, pages that need OCR.
 Reader = Callable[[bytes], tuple[Iterable[tuple[str, bool, int | None, bool]], int | None, int]]
 
@@ -137,7 +152,9 @@ def read_files(found: DataFrame, readers: dict[str, Reader] | None = None, max_f
 
     Text and Markdown come as `text`, to be cut by `segments_of`; Word documents, and kinds for which `readers`
     has a reader, as segments. A kind without a reader and a file that can't be read give an error and no
-    segments; too large ones are not opened. Files are read where their row is, a few at a time.
+    segments; too large ones are not opened. Files are read where their row is, one after the other; rows are handed
+    on whenever BATCH_BYTES have been read. A path with a scheme (as from `scan_store`) is opened through pyarrow's
+    file systems.
     """
     readers = dict(readers or {})
     limit = max_file_mb * 1024 * 1024
@@ -147,8 +164,7 @@ def read_files(found: DataFrame, readers: dict[str, Reader] | None = None, max_f
         if size is not None and size > limit:
             return None, None, None, 0, None
         try:
-            with open(path, "rb") as f:
-                data = f.read()
+            data = _bytes(path)
             if kind in ("txt", "md"):
                 import unicodedata
 
@@ -164,15 +180,29 @@ def read_files(found: DataFrame, readers: dict[str, Reader] | None = None, max_f
 
     schema = f"path_key string, size long, mtime double, text string, segments {SEGMENTS}, num_pages int, ocr_needed int, error string"
 
+    names = [c.split()[0] for c in ("text", "segments", "num_pages", "ocr_needed", "error")]
+
     def run(frames):
         import pandas as pd
 
-        names = [c.split()[0] for c in ("text", "segments", "num_pages", "ocr_needed", "error")]
-        for frame in frames:
-            got = [one(p, s) for p, s in zip(frame["path"], frame["size"])]
-            columns = {n: pd.Series([g[i] for g in got], dtype=object) for i, n in enumerate(names)}
-            columns["segments"] = columns["segments"].map(lambda x: None if x is None else [dict(zip(("text", "is_heading", "page", "ocr"), s)) for s in x])
-            yield pd.DataFrame({"path_key": frame["path_key"], "size": frame["size"], "mtime": frame["mtime"], **columns})
+        def frame(rows: list[tuple]):
+            out = pd.DataFrame([r[:3] for r in rows], columns=["path_key", "size", "mtime"])
+            for i, n in enumerate(names):
+                out[n] = pd.Series([r[3 + i] for r in rows], dtype=object)
+            out["segments"] = out["segments"].map(lambda x: None if x is None else [dict(zip(("text", "is_heading", "page", "ocr"), s)) for s in x])
+            return out
+
+        rows: list[tuple] = []
+        held = 0
+        for f in frames:
+            for key, path, size, mtime in zip(f["path_key"], f["path"], f["size"], f["mtime"]):
+                rows.append((key, size, mtime, *one(path, size)))
+                held += min(size or 0, limit)
+                if held >= BATCH_BYTES:
+                    yield frame(rows)
+                    rows, held = [], 0
+        if rows:
+            yield frame(rows)
 
     return found.select("path_key", "path", "size", "mtime").mapInPandas(run, schema)
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.operators.incremental import VersionConflict
+from shelfspark.util import written
 
 FILES = "file_id long, path_key string, path string, name string, ext string, size long, mtime double, status string, error string, num_pages int, num_chunks int, ocr_pages int, indexed_at timestamp"
 CHUNKS = "chunk_id long, file_id long, ordinal int, text string, section string, page_start int, page_end int, ocr boolean, embedding array<float>"
@@ -24,6 +25,8 @@ SPAN = 1_000_000
 
 
 class IndexStore:
+    """See above. Ids of files are dense, so with SPAN chunks each there is room for 9 * 10^12 files."""
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -38,7 +41,7 @@ class IndexStore:
         """What the newest version holds: files and folders (a path or null), parts, dropped, meta."""
         v = self.version()
         if not v:
-            return {"version": 0, "files": None, "folders": None, "parts": [], "dropped": [], "meta": {}}
+            return {"version": 0, "next": 1, "files": None, "folders": None, "parts": [], "dropped": [], "meta": {}}
         stream = self._fs.open(self._path(f"{self.root}/versions/{v}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode()) | {"version": v}
@@ -87,30 +90,45 @@ class IndexStore:
         """Add or replace files (matched by path_key) with all their chunks, and remove those of `gone` (path_key).
 
         files: the columns of FILES but file_id and num_chunks; chunks: path_key and the columns of CHUNKS but
-        chunk_id and file_id, ordinals unique in a file. A file keeps its id. Ids of new ones follow from their
-        path_key. A chunk whose file isn't among `files` is an error, and so is one without an ordinal.
+        chunk_id and file_id, ordinals unique in a file. A file keeps its id; new ones are numbered on from the last
+        id that was ever given. A chunk whose file isn't among `files` is an error, and so is one without an ordinal
+        or with one of SPAN or more.
         """
         s = self.state()
         old = self._read(s["files"], FILES)
-        strays = chunks.join(files, "path_key", "left_anti").unionByName(chunks.filter("ordinal is null")).limit(1).count()
+        strays = chunks.join(files, "path_key", "left_anti").unionByName(chunks.filter(f"ordinal is null or ordinal >= {SPAN}")).limit(1).count()
         if strays:
             raise ValueError("chunks without their file or ordinal")
         counts = chunks.groupBy("path_key").agg(F.count(F.lit(1)).cast("int").alias("num_chunks"))
         known = old.select("path_key", "file_id")
         new = files.drop("file_id", "num_chunks").join(known, "path_key", "left").join(counts, "path_key", "left").fillna(0, ["num_chunks"])
-        new = new.withColumn("file_id", F.coalesce("file_id", F.shiftrightunsigned(F.xxhash64("path_key"), 24)))
+        new, following = self._numbered(new, s["next"])
         columns = [c.split()[0] for c in FILES.split(", ")]
         touched = files.select("path_key") if gone is None else files.select("path_key").unionByName(gone.select("path_key"))
         kept = old.join(touched.distinct(), "path_key", "left_anti")
         path = self._write(kept.select(columns).unionByName(new.select(columns)), "files")
         table = self._read(path, FILES)
         ids = table.select("path_key", "file_id")
-        if ids.groupBy("file_id").count().filter("count > 1").limit(1).count():
-            raise ValueError("two paths have the same file id")
         numbered = chunks.drop("file_id", "chunk_id").join(ids, "path_key").withColumn("chunk_id", F.col("file_id") * SPAN + F.col("ordinal"))
         part = self._write(numbered.select([c.split()[0] for c in CHUNKS.split(", ")]), "chunks")
         dropped = self._write(known.join(touched.distinct(), "path_key", "left_semi").select("file_id"), "dropped")
-        return self._publish(s, files=path, parts=[*s["parts"], part], dropped=[*s["dropped"], [len(s["parts"]), dropped]])
+        return self._publish(s, next=following, files=path, parts=[*s["parts"], part], dropped=[*s["dropped"], [len(s["parts"]), dropped]])
+
+    def _numbered(self, new: DataFrame, first: int) -> tuple[DataFrame, int]:
+        """Rows without a file_id get one from `first` on; and the first id that is left.
+
+        Rows are numbered in the part they are written in; the parts' counts, one row each, are summed.
+        """
+        k = (F.monotonically_increasing_id() % (1 << 33)).alias("_k")
+        rows = written(new.filter("file_id is null").select("path_key").select("path_key", F.spark_partition_id().alias("_part"), k), "ids")
+        sizes = sorted((r["_part"], r["n"]) for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+        starts, at = [], first
+        for part, n in sizes:
+            starts.append((part, at))
+            at += n
+        offsets = self.spark.createDataFrame(starts, "_part int, _first long")
+        ids = rows.join(F.broadcast(offsets), "_part").select("path_key", (F.col("_first") + F.col("_k")).alias("_id"))
+        return new.join(ids, "path_key", "left").withColumn("file_id", F.coalesce("file_id", "_id")).drop("_id"), at
 
     def delete(self, gone: DataFrame) -> int:
         """Remove files (path_key) and their chunks. An empty table changes nothing that can be read."""

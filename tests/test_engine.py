@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.config import Settings
+from shelfspark.operators import search
 from shelfspark.plans.engine import Engine
 from shelfspark.sources import files as src
 from shelfspark.sources.store import IndexStore
@@ -58,7 +59,8 @@ def test_scan_and_read(spark, library):
 
 def test_sync_is_incremental_and_answers(spark, library, tmp_path):
     pages = lambda data: ([("First page of the scanned ledger.", False, 1, True), ("Last page lists barrels.", False, 2, True)], 2, 0)
-    engine = Engine(spark, str(tmp_path / "index"), readers={"pdf": pages})
+    strict = lambda question, text: search.shared_words(question, text) - 3.0  # noqa: E731  (no shared word: below the least relevance)
+    engine = Engine(spark, str(tmp_path / "index"), readers={"pdf": pages}, scorer=strict)
     first = engine.sync_folder(str(library))
     assert (first["files_found"], first["to_index"], first["removed"], first["failed"]) == (6, 6, 0, 1)
     assert engine.sync_folder(str(library))["to_index"] == 0
@@ -79,11 +81,39 @@ def test_sync_is_incremental_and_answers(spark, library, tmp_path):
     one = {r.query_id: r for r in engine.answer(far, files=[str(library / "scan.pdf")]).collect()}
     assert (one[1].status, one[1].answer) == ("answered", "scan.pdf has 2 pages, so there is no page 40.") and one[1].citations == []
     assert (one[2].mode, one[2].status) == ("fallback", "no_llm") and one[2].citations and "scan.pdf" in one[3].answer
-    retry = Engine(spark, str(tmp_path / "index"), condenser=lambda q: q.select("query_id", F.col("text").alias("query")), rewriter=lambda d: d.select("query_id", F.lit("when was the boiler scrapped").alias("query")))
+    retry = Engine(spark, str(tmp_path / "index"), scorer=strict, condenser=lambda q: q.select("query_id", F.col("text").alias("query")), rewriter=lambda d: d.select("query_id", F.lit("when was the boiler scrapped").alias("query")))
     assert {r.query_id: r.status for r in retry.answer(far.filter("query_id = 2"), folder=str(library)).collect()} == {2: "no_llm"}
-    said = Engine(spark, str(tmp_path / "index"), answerer=lambda g: g.select("query_id", F.concat(F.lit("So it is 【1】. "), F.col("excerpts")).alias("answer")))
+    said = Engine(spark, str(tmp_path / "index"), scorer=strict, answerer=lambda g: g.select("query_id", F.concat(F.lit("So it is 【1】. "), F.col("excerpts")).alias("answer")))
     a = {r.query_id: r for r in said.answer(q.filter("query_id < 3"), folder=str(library)).collect()}
-    assert a[1].answer.startswith("So it is [1]. [1] notes.txt — BOILER ROOM NOTES\n") and 1 in a[1].cited and a[2].answer is None
+    assert a[1].answer.startswith("So it is [1]. [1] notes.txt — BOILER ROOM NOTES\n") and 1 in a[1].cited and a[2].answer.startswith("I couldn't find anything relevant")
+
+
+def test_page_questions_scope_and_errors(spark, library, tmp_path):
+    pages = lambda data: ([("First page of the scanned ledger.", False, 1, True), ("Last page lists barrels.", False, 2, True)], 2, 0)
+    engine = Engine(spark, str(tmp_path / "index"), readers={"pdf": pages})
+    engine.sync_folder(str(library))
+    scan, notes = str(library / "scan.pdf"), str(library / "notes.txt")
+    assert engine.store.files().filter("name = 'scan.pdf'").first().ocr_pages == 2
+    q = spark.createDataFrame([(1, "show me the last page"), (2, "page 40")], "query_id long, text string")
+    got = {r.query_id: r for r in engine.answer(q, files=[scan]).collect()}
+    assert got[1].mode == "pages" and [c.pages for c in got[1].citations] in (["p. 2"], ["pp. 1–2"])
+    assert (got[2].mode, got[2].answer) == ("pages", "scan.pdf has 2 pages, so there is no page 40.")
+    assert {r.mode for r in engine.answer(q, files=[scan, notes]).collect()} == {"search"}
+    # the corpus counts, not the scope: the order is that of the whole library
+    whole = engine.docs()
+    wide = {r.chunk_id: r.score for r in search.bm25(whole, spark.createDataFrame([(1, ["the"])], "query_id long, terms array<string>"), 50).collect()}
+    part = whole.filter("name = 'notes.txt'")
+    some = {r.chunk_id: r.score for r in search.bm25(whole, spark.createDataFrame([(1, ["the"])], "query_id long, terms array<string>"), 50, scope=part.select("chunk_id")).collect()}
+    assert some and all(wide[c] == s for c, s in some.items())
+    failing = Engine(spark, str(tmp_path / "index"), answerer=lambda g: g.select("query_id", F.lit(None).cast("string").alias("answer"), F.lit("no key").alias("error")))
+    r = failing.answer(spark.createDataFrame([(1, "when was the boiler drained")], "query_id long, text string"), folder=str(library)).first()
+    assert r.status == "llm_error" and r.answer.startswith("⚠️ no key\n\nHere are") and r.citations and r.cited == []
+    # one file by itself
+    (library / "notes.txt").write_text("BOILER ROOM NOTES\n\nThe boiler was painted green in July by the whole crew of the house.")
+    assert engine.sync_file(notes)["to_index"] == 1 and engine.sync_file(notes)["to_index"] == 0
+    assert engine.store.chunks().filter("text like '%painted green%'").first().embedding is not None
+    (library / "notes.txt").unlink()
+    assert engine.sync_file(notes)["removed"] == 1
 
 
 def test_store(spark, tmp_path):
@@ -95,6 +125,11 @@ def test_store(spark, tmp_path):
     store.save(files("a", "b"), chunks(("a", 0, "a0"), ("a", 1, "a1"), ("b", 0, "b0")))
     store.save(files("a"), chunks(("a", 0, "new")))
     assert texts() == ["b0", "new"] and {r.path_key: r.num_chunks for r in store.files().collect()} == {"a": 1, "b": 1}
+    ids = {r.path_key: r.file_id for r in store.files().collect()}
+    assert sorted(ids.values()) == [1, 2]
+    store.save(files("c", "b"), chunks(("c", 0, "c0"), ("b", 0, "b0")))
+    assert {r.path_key: r.file_id for r in store.files().collect()} == {**ids, "c": 3} and {r.chunk_id for r in store.chunks().collect()} == {i * 1_000_000 for i in (1, 2, 3)}
+    store.delete(spark.createDataFrame([("c",)], "path_key string"))
     with pytest.raises(ValueError):
         store.save(files("a"), chunks(("zzz", 0, "x")))
     store.delete(spark.createDataFrame([], "path_key string"))
