@@ -5,7 +5,7 @@ order of rank, adds a gadget: an arc uv beside the path u v, while the path u v
 all merges the automaton is deterministic over tokens, its states are the tokens last read, and it
 accepts exactly the correct tokenizations. With 50,000 merges the full table has 2.5 billion arcs, of
 which texts touch some hundred thousand, so whether arc (a, b) is still open after all gadgets is
-worked out when it is first asked for and then kept (`MergeAutomaton.open`).
+worked out when it is first asked for and then stands in the table of transitions (`MergeAutomaton.table`).
 
 Encoding a pre-split word runs left to right: at each byte exactly one token ends that has an open arc
 from the state reached at its start. Decoding emits the labels of the arcs, the tokens' bytes.
@@ -15,8 +15,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
-from itertools import chain
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +35,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class MergeAutomaton:
-    def __init__(self, ranks: dict[bytes, int]):
+    """States are the tokens last read; `table` has a row for each, from a token to whether its arc is open.
+
+    parts: what each merge joins, if that was worked out before (see `compiled`).
+    """
+
+    def __init__(self, ranks: dict[bytes, int], parts: dict[int, tuple[int, int]] | None = None):
         self.ranks = ranks
         self.label = {i: t for t, i in ranks.items()}
         # length of the longest token that ends in these two bytes: no longer arc needs a look
@@ -49,10 +53,11 @@ class MergeAutomaton:
         self.merge: dict[tuple[int, int], int] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1:
-                parts = self._built_from(token, rank)
-                self.parts[rank] = parts
-                self.merge.setdefault(parts, rank)
-        self._open: dict[tuple[int, int], bool] = {}
+                joined = parts[rank] if parts is not None else self._built_from(token, rank)
+                self.parts[rank] = joined
+                self.merge.setdefault(joined, rank)
+        self.table: dict[int, dict[int, bool]] = {}
+        self._arcs = 0
 
     def _built_from(self, token: bytes, rank: int) -> tuple[int, int]:
         """Merge the token's bytes by the merges before it until two parts are left."""
@@ -69,11 +74,16 @@ class MergeAutomaton:
         complete. Undo the merges of a on its right edge and of b on its left edge, latest first, and
         look for such a gadget.
         """
-        got = self._open.get((a, b))
+        row = self.table.get(a)
+        if row is None:
+            row = self.table[a] = {}
+        got = row.get(b)
         if got is None:
-            if len(self._open) > KEPT:
-                self._open.clear()
-            got = self._open[a, b] = self._survives(a, b)
+            if self._arcs >= KEPT:
+                self.table.clear()
+                row, self._arcs = self.table.setdefault(a, {}), 0
+            self._arcs += 1
+            got = row[b] = self._survives(a, b)
         return got
 
     def _survives(self, a: int, b: int) -> bool:
@@ -116,43 +126,49 @@ class MergeAutomaton:
         return b"".join(self.label[i] for i in ids).decode("utf-8", errors="replace")
 
 
-def _other_numbers() -> str:
+def _odd_signs() -> frozenset[str]:
+    """Signs that the standard library's patterns class otherwise than the published one: numbers but digits, and four controls."""
     import sys
     import unicodedata
 
-    chars = [chr(i) for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("No", "Nl")]
-    return "[" + "".join(map(re.escape, chars)) + "]"
+    return frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl")) | frozenset("\x1c\x1d\x1e\x1f")
 
 
 class Encoder:
-    """Encodes texts; words that were met before come from a table."""
+    """Encodes texts to ids in native 32-bit integers, as bytes; words that were met before come from a table.
+
+    odd: the result of `_odd_signs`, if it was worked out before.
+    """
 
-    def __init__(self, automaton: MergeAutomaton):
+    def __init__(self, automaton: MergeAutomaton, odd: frozenset[str] | None = None):
         import regex
 
         self.automaton = automaton
         self._exact = regex.compile(PATTERN)
         # the same pattern for the standard library's faster engine, for texts without the few signs it classes otherwise
         self._plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-        self._odd = re.compile(_other_numbers() + r"|[\x1c-\x1f]")
+        self._odd = odd or _odd_signs()
         # a run of three or more blanks may form one word across a space
         self._run = re.compile(r"\s{3}")
-        self._words = _Table(lambda w: automaton.encode(w.encode("utf-8", "surrogatepass")))
+        self._words = _Table(lambda w: array("i", automaton.encode(w.encode("utf-8", "surrogatepass"))).tobytes())
         self._pieces = _Table(lambda p: self._split(" " + p))
 
-    def _split(self, text: str) -> list[int]:
-        pattern = self._exact if self._odd.search(text) else self._plain
-        return list(chain.from_iterable(map(self._words.__getitem__, pattern.findall(text))))
+    def _split(self, text: str) -> bytes:
+        pattern = self._plain if self._odd.isdisjoint(text) else self._exact
+        return b"".join(map(self._words.__getitem__, pattern.findall(text)))
 
-    def encode(self, text: str) -> Iterator[int]:
+    def packed(self, text: str) -> bytes:
         """A space always begins a word, unless it stands in a longer run of blanks: so the text falls
         into pieces at its spaces, each encoded on its own."""
         if not text:
-            return iter(())
+            return b""
         if self._run.search(text):
-            return iter(self._split(text))
+            return self._split(text)
         first, *rest = text.split(" ")
-        return chain(self._split(first), chain.from_iterable(map(self._pieces.__getitem__, rest)))
+        return self._split(first) + b"".join(map(self._pieces.__getitem__, rest))
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
 
 class _Table(dict):
@@ -171,7 +187,13 @@ class _Table(dict):
         return out
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def compiled(vocabulary: str) -> tuple[dict[bytes, int], dict[int, tuple[int, int]], frozenset[str]]:
+    """What every worker's automaton is built from: ranks, the parts of each merge, and the odd signs."""
+    ranks = read_ranks(vocabulary)
+    return ranks, MergeAutomaton(ranks).parts, _odd_signs()
 
 
 def encode_documents(df: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,30 +201,23 @@ def encode_documents(df: DataFrame, vocabulary: str = VOCABULARY, id_col: str =
 
     Strings that look like special tokens are plain text; an empty or null text gives an empty list; a
     row stands as often as it does in the input. Extra columns are not read. The vocabulary (a fixed
-    file of some 50,000 entries) goes to the workers once; there is no shuffle.
+    file of some 50,000 entries) and its merges go to the workers once; there is no shuffle.
     """
-    spark = df.sparkSession
-    ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
-    key = hash(vocabulary)
+    shared = df.sparkSession.sparkContext.broadcast(compiled(vocabulary))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        encoder = _ENCODERS.get(key)
+        encoder = _ENCODERS.get(vocabulary)
         if encoder is None:
-            encoder = _ENCODERS[key] = Encoder(MergeAutomaton(ranks.value))
+            ranks, parts, odd = shared.value
+            encoder = _ENCODERS[vocabulary] = Encoder(MergeAutomaton(ranks, parts), odd)
         for batch in batches:
-            values: list[np.ndarray] = []
-            lengths = np.zeros(batch.num_rows + 1, np.int64)
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                if text:
-                    ids = np.fromiter(encoder.encode(text), np.int32)
-                    values.append(ids)
-                    lengths[i + 1] = len(ids)
-            flat = np.concatenate(values) if values else np.zeros(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
+            packed = [encoder.packed(text) if text else b"" for text in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+            flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "ids"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)

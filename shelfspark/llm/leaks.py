@@ -10,25 +10,15 @@ from pyspark.sql import functions as F
 
 WORDS = 12
 
-#: The benchmark is broadcast as patterns; more than this many bytes of it are split into several automata.
-PATTERN_BYTES = 64 << 20
-
 #: Maximal runs of letters and digits.
 _WORD = re.compile(r"[^\W_]+")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
-
-
-def _normal(text: str) -> tuple[str, list[int]]:
-    """Words in lower case, each between single spaces, and where each begins in the normal text."""
-    found = words(text)
-    starts, at = [], 1
-    for w in found:
-        starts.append(at)
-        at += len(w) + 1
-    return " " + " ".join(found) + " ", starts
+    """Words in small letters, as they stand in the original."""
+    low = text.lower()
+    # where small letters need more characters (as of İ), word by word: marks they bring part no words
+    return _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
 
 
 def passages(text: str, n: int = WORDS) -> list[str]:
@@ -38,20 +28,13 @@ def passages(text: str, n: int = WORDS) -> list[str]:
     return [" " + " ".join(w[i : i + k]) + " " for i in range(len(w) - k + 1)] if k else []
 
 
-def patterns(benchmark: DataFrame, n: int = WORDS) -> list[dict[str, tuple[int, ...]]]:
-    """Passages with the items they stand in, in parts of at most PATTERN_BYTES."""
-    parts: list[dict[str, set[int]]] = [{}]
-    held = 0
+def patterns(benchmark: DataFrame, n: int = WORDS) -> dict[str, tuple[int, ...]]:
+    """Passages with the items they stand in. The benchmark is held-out material: it has to fit into an executor."""
+    out: dict[str, set[int]] = {}
     for row in benchmark.select("item_id", "text").filter("text is not null and item_id is not null").distinct().toLocalIterator():
         for p in passages(row.text, n):
-            if held > PATTERN_BYTES:
-                parts.append({})
-                held = 0
-            part = parts[-1]
-            if p not in part:
-                held += len(p.encode())
-            part.setdefault(p, set()).add(row.item_id)
-    return [{p: tuple(sorted(i)) for p, i in part.items()} for part in parts if part]
+            out.setdefault(p, set()).add(row.item_id)
+    return {p: tuple(sorted(i)) for p, i in out.items()}
 
 
 _BUILT: dict[str, object] = {}
@@ -59,27 +42,21 @@ _BUILT: dict[str, object] = {}
 
 def leaks(documents: DataFrame, benchmark: DataFrame, n: int = WORDS, with_offsets: bool = False) -> DataFrame:
     """(doc_id, item_id) of every document that holds at least n consecutive words of an item (or all of
-    a shorter item's words); with_offsets adds start and end of the first such passage in the original
-    text (code points) and the number of words from the first to the last.
+    a shorter item's words); with_offsets adds start and end of the passages from the first to the last in the
+    original text (code points) and the number of words from the first to the last.
 
-    Every document is read once, whole; the scan costs the same however many items there are. Words are
-    compared in lower case, all between them is ignored. Null and empty texts hold nothing. Rows of
-    documents that stand twice give rows twice unless `doc_id` is unique. There is no shuffle.
+    Every document is read once, whole, by one automaton over all items; the scan costs the same however many
+    items there are. Words are compared in lower case, all between them is ignored. Null and empty texts hold
+    nothing. Rows of documents that stand twice give rows twice unless `doc_id` is unique. There is no shuffle.
     """
     spark = documents.sparkSession
     schema = "doc_id long, item_id long" + (", start int, end int, n_words int" if with_offsets else "")
-    parts = patterns(benchmark, n)
-    if not parts:
+    found = patterns(benchmark, n)
+    if not found:
         return spark.createDataFrame([], schema)
-    out = None
-    for part in parts:
-        found = _scan(documents, spark.sparkContext.broadcast(part), schema, with_offsets)
-        out = found if out is None else out.unionByName(found)
-    return out if len(parts) == 1 else (out.groupBy("doc_id", "item_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("n_words").alias("n_words")) if with_offsets else out.distinct())
-
-
-def _scan(documents: DataFrame, part, schema: str, with_offsets: bool) -> DataFrame:
+    shared = spark.sparkContext.broadcast(found)
     key = uuid.uuid4().hex  # a worker builds the automaton once
+
     def run(batches):
         import ahocorasick
         import pyarrow as pa
@@ -87,7 +64,7 @@ def _scan(documents: DataFrame, part, schema: str, with_offsets: bool) -> DataFr
         automaton = _BUILT.get(key)
         if automaton is None:
             automaton = ahocorasick.Automaton()
-            for pattern, items in part.value.items():
+            for pattern, items in shared.value.items():
                 automaton.add_word(pattern, (len(pattern), items))
             automaton.make_automaton()
             _BUILT.clear()
@@ -97,7 +74,7 @@ def _scan(documents: DataFrame, part, schema: str, with_offsets: bool) -> DataFr
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
                     continue
-                normal = " " + " ".join(_WORD.findall(text.lower())) + " "
+                normal = " " + " ".join(words(text)) + " "
                 spans: dict[int, tuple[int, int]] = {}
                 for last, (length, items) in automaton.iter(normal):
                     for item in items:
@@ -121,17 +98,15 @@ def _offsets(text: str):
     """From places in the normal text to (start, end, words) in the original one."""
     import bisect
 
-    # lower() may change a text's length, so words are found in the original where that is so
-    low = text.lower()
-    same = len(low) == len(text)
-    spans = [(m.start(), m.end()) for m in _WORD.finditer(low if same else text)]
-    _, starts = _normal(text)
+    spans = [m.span() for m in _WORD.finditer(text)]  # the same words, in the original
+    starts, at = [], 1
+    for w in words(text):
+        starts.append(at)
+        at += len(w) + 1
 
     def where(first: int, last: int) -> tuple[int, int, int]:
         i = bisect.bisect_left(starts, first)
         j = bisect.bisect_left(starts, last) - 1
-        if not same:
-            i, j = min(i, len(spans) - 1), min(j, len(spans) - 1)
         return spans[i][0], spans[j][1], j - i + 1
 
     return where

@@ -68,9 +68,10 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = L
     """(start, end) of consecutive pieces that cover the text, each at most `limit` long.
 
     A piece ends at the strongest boundary between `least` and `limit` characters after its start; of
-    equals at the rightmost. The next begins at the strongest boundary of a sentence or better within
-    the last `overlap` characters, or else at the leftmost word there; with no boundary at all it is a
-    plain cut between signs. A text within the limit is one piece, an empty one none.
+    equals at the rightmost. The next begins as far back as `overlap` allows: at the first boundary of a sentence or
+    better within the last `overlap` characters, or else at the first word there, or else, where there is no
+    boundary at all, right `overlap` characters back, between two signs. A text within the limit is one piece, an
+    empty one none.
     """
     n = len(text)
     if n <= limit:
@@ -95,12 +96,12 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = L
             end = end if end > start + 1 else start + limit
         out.append((start, end))
         lo = max(start + 1, end - overlap)
-        at, strength = index.best(lo - origin, end - 1 - origin) if end - 1 >= lo else (end - origin, 0)
-        at += origin
-        if strength < SENTENCE:
-            words = np.flatnonzero(value[lo:end] >= WORD)
-            at = lo + int(words[0]) if len(words) else end
-        start = at
+        back = value[lo:end]
+        for good in (SENTENCE, WORD, 0):
+            places = np.flatnonzero(back >= good)
+            if len(places):
+                break
+        start = lo + int(places[0]) if len(places) else end
 
 
 def oversize(text: Column, limit: int = LIMIT) -> Column:

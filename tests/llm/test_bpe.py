@@ -23,7 +23,7 @@ def test_equal_to_the_library_and_round_trip(tools):
     texts = TEXTS + ["".join(rng.choice("abcdeth inger  \n\t'.,²½é日本語ना्ไทย0123-_ 　") for _ in range(rng.randint(1, 40))) for _ in range(3000)]
     texts += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
     for t in texts:
-        ids = list(encoder.encode(t))
+        ids = encoder.encode(t)
         assert ids == other.encode_ordinary(t)
         assert encoder.automaton.decode(ids) == t
 

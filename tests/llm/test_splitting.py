@@ -46,6 +46,14 @@ def test_cuts_stand_at_the_strongest_boundary():
     assert whole(marks, sp.pieces(marks)) == marks
 
 
+def test_overlap_is_as_long_as_the_text_allows():
+    for text, least in (("x" * 3000, 150), ("слово" * 900, 150), ("第一頁" * 900, 140), ("Short one. " * 400, 139), ("word " * 800, 145), ("A sentence of a good many words that goes on for about eighty characters or so. " * 40, 70)):
+        parts = sp.pieces(text)
+        assert all(least <= b - c <= 150 for (_, b), (c, _) in zip(parts, parts[1:])), text[:9]
+    marks = "n" + "́" * 3000
+    assert all(0 <= b - c <= 150 for (_, b), (c, _) in zip(sp.pieces(marks), sp.pieces(marks)[1:]))
+
+
 def test_very_long_text_in_blocks():
     text = "Some words stand here. " * 40_000
     parts = sp.pieces(text)
