@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.util import is_blank
+from shelfspark.util import is_blank, ranked
 
 CITATIONS = T.ArrayType(T.StructType([T.StructField("ref", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("page", T.IntegerType())]))
 
@@ -83,10 +83,22 @@ def add_exchanges(sessions: DataFrame, messages: DataFrame, exchanges: DataFrame
     exchanges: session_id, question, answer, citations (JSON), at; one for a session. Ids go on from first_id,
     by session_id.
     """
-    n = F.row_number().over(W.orderBy("session_id"))  # one run's exchanges, not the table
-    e = exchanges.withColumn("n", n - 1)
+    e = ranked(exchanges, [F.col("session_id")], "n", 0)
     side = lambda role, text, cites, k: e.select((F.lit(first_id) + 2 * F.col("n") + k).cast("long").alias("id"), "session_id", F.lit(role).alias("role"), F.col(text).alias("content"), F.col("at").alias("created_at"), cites.alias("citations"))
     new = side("user", "question", F.lit(None).cast("string"), 0).unionByName(side("ai", "answer", F.col("citations"), 1))
     touched = exchanges.select("session_id", F.col("at").alias("_at"))
     used = sessions.join(touched, "session_id", "left").withColumn("updated_at", F.coalesce("_at", "updated_at")).drop("_at")
     return used, messages.unionByName(new, allowMissingColumns=True)
+
+
+def create_sessions(sessions: DataFrame, new: DataFrame) -> DataFrame:
+    """Append sessions; ids that are there already stay as they are. new: session_id, title, username, mode, folder,
+    file_path, at, once each."""
+    rows = new.join(sessions.select("session_id"), "session_id", "left_anti").withColumn("created_at", F.col("at")).withColumn("updated_at", F.col("at")).drop("at")
+    return sessions.unionByName(rows, allowMissingColumns=True)
+
+
+def set_folders(sessions: DataFrame, changes: DataFrame) -> DataFrame:
+    """Sessions with the folder that `changes` (session_id, folder; once each) gives them."""
+    to = changes.select("session_id", F.col("folder").alias("_to"), F.lit(True).alias("_set"))
+    return sessions.join(to, "session_id", "left").withColumn("folder", F.when(F.col("_set"), F.col("_to")).otherwise(F.col("folder"))).drop("_to", "_set")

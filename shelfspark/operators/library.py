@@ -143,12 +143,21 @@ def inventory_text(files: DataFrame, folder: str, most: int = LISTED) -> str:
     return "\n".join([head, "", *lines, *([f"- …and {more} more"] if more else [])])
 
 
+def file_line(name: Column, path: Column, label: Column) -> Column:
+    """What is known of one file, in a chat about it. Fixed texts."""
+    where = F.regexp_replace(path, "/[^/]*$", "")
+    return F.concat(F.lit("This chat is about one file: **"), markdown_escape(name), F.lit("**"), F.when(label != "", F.concat(F.lit(" ("), label, F.lit(")"))).otherwise(""), F.lit(", in `"), where, F.lit("`."))
+
+
+def file_texts(files: DataFrame) -> DataFrame:
+    """(path_key, text): `file_line` of every file."""
+    return files.select("path_key", file_line(F.col("name"), F.col("path"), state_label(F.col("status"), F.col("num_pages"), F.col("ocr_pages"))).alias("text"))
+
+
 def file_text(files: DataFrame, path_key: str) -> str | None:
     """What is known of one file; None if nothing is."""
-    r = files.filter(F.col("path_key") == path_key).select(markdown_escape(F.col("name")).alias("name"), "path", state_label(F.col("status"), F.col("num_pages"), F.col("ocr_pages")).alias("label")).first()
-    if r is None:
-        return None
-    return f"This chat is about one file: **{r.name}**" + (f" ({r.label})" if r.label else "") + f", in `{r.path.rpartition('/')[0]}`."
+    r = file_texts(files.filter(F.col("path_key") == path_key)).first()
+    return r and r.text
 
 
 def other_kinds(found: DataFrame, supported: Sequence[str], most: int = 6) -> DataFrame:

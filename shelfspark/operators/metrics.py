@@ -76,3 +76,8 @@ def rouge_l(answer: pd.Series, reference: pd.Series) -> pd.Series:
         n = lcs_length(a, b) if a and b else 0
         out.append(round(2 * (n / len(a)) * (n / len(b)) / (n / len(a) + n / len(b)), 4) if n else 0.0)
     return pd.Series(out, dtype="float64")
+
+
+def write_json(per_query: DataFrame, path: str) -> None:
+    """Sink of an evaluation: one JSON object for each query below `path`, numbers and names as in the table."""
+    per_query.write.json(path)

@@ -73,7 +73,7 @@ class Engine:
         keyed = read.withColumn("file_id", F.xxhash64("path_key"))
         title = F.element_at(F.split("path_key", "/"), -1)
         cut = chunk_segments(keyed.select("file_id", "segments"), self.settings).join(keyed.select("file_id", "path_key"), "file_id").drop("file_id")
-        cut = written(cut.withColumn("embedding", self.embedder(embedding_text(title, F.col("section"), F.col("text")))), "chunks")
+        cut = written(cut.withColumn("embedding", self.embedder(embedding_text(title, F.col("section"), F.col("text"))).cast("array<float>")), "chunks")
         counts = cut.groupBy("path_key").agg(F.count(F.lit(1)).alias("n"))
         by_ocr = F.filter("segments", lambda x: x["ocr"])
         ocr_pages = F.coalesce(F.size(F.array_distinct(F.transform(by_ocr, lambda x: F.coalesce(x["page"], F.lit(1))))), F.lit(0))

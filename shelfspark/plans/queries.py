@@ -231,7 +231,7 @@ def _shared(docs: DataFrame, q: DataFrame) -> DataFrame:
 
 @query
 def hybrid_search(spark, sf):
-    return search.hybrid(_docs(spark, sf), _questions(spark, sf))
+    return search.hybrid(_docs(spark, sf), _questions(spark, sf)).withColumn("relevance", F.round("relevance", 6))
 
 
 @query

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.operators.incremental import VersionConflict
-from shelfspark.util import written
+from shelfspark.util import ranked
 
 FILES = "file_id long, path_key string, path string, name string, ext string, size long, mtime double, status string, error string, num_pages int, num_chunks int, ocr_pages int, indexed_at timestamp"
 CHUNKS = "chunk_id long, file_id long, ordinal int, text string, section string, page_start int, page_end int, ocr boolean, embedding array<float>"
@@ -115,20 +115,10 @@ class IndexStore:
         return self._publish(s, next=following, files=path, parts=[*s["parts"], part], dropped=[*s["dropped"], [len(s["parts"]), dropped]])
 
     def _numbered(self, new: DataFrame, first: int) -> tuple[DataFrame, int]:
-        """Rows without a file_id get one from `first` on; and the first id that is left.
-
-        Rows are numbered in the part they are written in; the parts' counts, one row each, are summed.
-        """
-        k = (F.monotonically_increasing_id() % (1 << 33)).alias("_k")
-        rows = written(new.filter("file_id is null").select("path_key").select("path_key", F.spark_partition_id().alias("_part"), k), "ids")
-        sizes = sorted((r["_part"], r["n"]) for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
-        starts, at = [], first
-        for part, n in sizes:
-            starts.append((part, at))
-            at += n
-        offsets = self.spark.createDataFrame(starts, "_part int, _first long")
-        ids = rows.join(F.broadcast(offsets), "_part").select("path_key", (F.col("_first") + F.col("_k")).alias("_id"))
-        return new.join(ids, "path_key", "left").withColumn("file_id", F.coalesce("file_id", "_id")).drop("_id"), at
+        """Rows without a file_id get one from `first` on, by path_key; and the first id that is left."""
+        ids = ranked(new.filter("file_id is null").select("path_key"), [F.col("path_key")], "_id", first)
+        following = ids.agg(F.coalesce(F.max("_id") + 1, F.lit(first)).alias("n")).first().n
+        return new.join(ids, "path_key", "left").withColumn("file_id", F.coalesce("file_id", "_id")).drop("_id"), following
 
     def delete(self, gone: DataFrame) -> int:
         """Remove files (path_key) and their chunks. An empty table changes nothing that can be read."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -39,13 +40,34 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a table in the shared folder: later stages read files, not lost shuffle blocks."""
+    """Cut the lineage with a table in the shared folder: later stages read files, not lost shuffle blocks.
+
+    The table is removed when the program ends, or by `clear_written`.
+    """
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
+    _WRITTEN.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_written() -> None:
+    """Remove the tables `written` made so far: no result that reads them is needed any more."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended; the folder is its owner's to clean
+            pass
+
+
+atexit.register(clear_written)
+
+
 def strip_blank(c: Column) -> Column:
     """Without outer blanks (see BLANK)."""
     return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
@@ -108,3 +130,18 @@ def numbered(rows: DataFrame, key: str, order: list[Column], bucket: Column, nam
     offsets = counts.select(F.col(key).alias("_k"), F.col("_b").alias("_kb"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
     joined = inner.join(offsets, F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_kb")), "left")
     return joined.withColumn(name, (F.col("_n") + F.col("_o")).cast("int")).drop("_b", "_n", "_o", "_k", "_kb")
+
+
+def ranked(df: DataFrame, order: list[Column], name: str, first: int = 1) -> DataFrame:
+    """`name`: first.. by `order` over all rows, without one task ever holding them.
+
+    Rows are sorted by range and written; each part's count, one small row each, gives the next part its first number.
+    """
+    k = (F.monotonically_increasing_id() % (1 << 33)).alias("_k")
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), k), "ranked")
+    starts, at = [], first
+    for part, n in sorted((r["_part"], r["n"]) for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row for each part
+        starts.append((part, at))
+        at += n
+    offsets = df.sparkSession.createDataFrame(starts, "_part int, _first long")
+    return rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_first") + F.col("_k")).drop("_part", "_first", "_k")

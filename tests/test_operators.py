@@ -122,7 +122,7 @@ def test_spread_and_evenly(spark):
     rows = [(1, i, i, s) for i, s in enumerate(names)] + [(2, 100, 0, "Appendix"), (2, 101, 1, None)] + [(3, 200, 0, "References")]
     c = spark.createDataFrame(rows, "file_id long, chunk_id long, ordinal int, section string")
     got = {f: sorted(r.chunk_id for r in passages.spread(c, 6).collect() if r.file_id == f) for f in (1, 2, 3)}
-    assert got == {1: [0, 2, 6, 12, 13, 18], 2: [101], 3: [200]} or (len(got[1]) == 6 and {0, 2, 6, 12, 18} <= set(got[1]) and got[2] == [101])
+    assert got == {1: [0, 1, 2, 6, 12, 18], 2: [101], 3: [200]}
     e = lambda n, k: spark.range(1).select(passages.evenly(F.lit(n), F.lit(k)).alias("x")).first().x
     assert [e(5, 9), e(5, 0), e(5, 1), e(0, 3), e(6, 3)] == [[0, 1, 2, 3, 4], [], [0], [], [0, 2, 5]]
 
@@ -161,7 +161,7 @@ def test_scope_states_and_plan(spark):
     assert {r.path_key: r.action for r in library.sync_plan(found, known, True).collect()} == {"a": "unchanged", "b": "changed", "c": "new", "g": "gone", "o": "retry"}
     assert library.sync_report(library.sync_plan(found.limit(0), known.limit(0))).first().files_found == 0
     kinds = library.other_kinds(spark.createDataFrame([("/x/a.zip",), ("/x/b.ZIP",), ("/x/c",), ("/x/d.txt",), ("/x/.env",)], "path_key string"), ["txt"])
-    assert [(r.ext, r.n) for r in kinds.collect()] == [("no extension", 2), (".zip", 2)] or {(r.ext, r.n) for r in kinds.collect()} == {(".zip", 2), ("no extension", 2)}
+    assert [(r.ext, r.n) for r in kinds.collect()] == [(".zip", 2), ("no extension", 2)]
 
 
 # chats and metrics

@@ -3,13 +3,13 @@ import os
 import pytest
 
 import __spark_entry__
-from shelfspark.plans import general, queries
+from shelfspark.plans import further, general, queries
 from tests.compare import connect, rows, sql_rows
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-OWN = {**general.QUERIES, **queries.QUERIES}
-SQL = {**general.ORACLE, **queries.ORACLE}
+OWN = {**general.QUERIES, **queries.QUERIES, **further.QUERIES}
+SQL = {**general.ORACLE, **queries.ORACLE, **further.ORACLE}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +22,7 @@ def test_query_equals_sql(spark, con, name):
     assert rows(OWN[name](spark, SF)) == sql_rows(con, SQL[name])
 
 
-@pytest.mark.parametrize("name", ["layout_lines", "rouge_l", "chunk_documents", "question_answers"])
+@pytest.mark.parametrize("name", ["layout_lines", "clean_text"])
 def test_query_runs(spark, name):
     assert OWN[name](spark, SF).count() > 0
 
