@@ -1,24 +1,29 @@
 """Noise in text from scanned pages: page furniture, words broken across lines, and misread characters.
 
 One pass counts, over all texts, how often every word stands and how often every short line stands where a
-running line would. A second pass labels the lines of each text and repairs it: page furniture goes, broken
-words are joined, misread words are replaced, and lines are put together to paragraphs.
+running line would. A second puts the texts into groups and notes of each group what it asks: which words it
+has to judge, and which lines. What is asked is looked up by joins, each word once; then every group
+goes together with its answers, and the lines of each text are labelled and repaired: page furniture goes, broken
+words are joined, misread words are replaced, and lines are put together to paragraphs. Nothing that grows
+with the vocabulary is broadcast or sent to the driver.
 
 Candidates for a misread word are all vocabulary words within an edit distance: a Levenshtein automaton of
-the word is run against a trie of the vocabulary, so none is missed. They are ranked by what scanners confuse,
+the word is run against a trie of the vocabulary, so none is missed. The vocabulary is cut into tries of a
+bounded size, and every word asked for meets each of them. Candidates are ranked by what scanners confuse,
 by how common they are and by whether they stand elsewhere in the same text.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.util import written
+
 #: A word is known if it stands so often, whatever the size of the table.
 LEAST = 3
 
@@ -31,8 +36,14 @@ RATIO = 40
 #: Counts held by a task before it hands them on.
 FLUSH = 400_000
 
+#: Characters of the texts of a group (a longer text is one by itself), words of a trie, and words that one task looks up.
+GROUP, TRIE, LOOKUPS = 1_000_000, 50_000, 500
+
+#: Up to this width one line tells how wide a text is wrapped; a wider one must be full twice and go on.
+NARROW, FULL = 120, 0.75
+
 #: What scanners make of letters: (right, wrong). Fixed values.
-CONFUSIONS = [("e", "c"), ("E", "F"), ("i", "!"), ("n", "ri"), ("a", "@"), ("A", "@"), ("t", "+"), ("o", "0"), ("O", "0"), ("s", "5"), ("s", "$"), ("S", "5"), ("S", "$"), ("d", "cl"), ("l", "1"), ("l", "|"), ("I", "l"), ("I", "1"), ("i", "1"), ("I", "|"), ("u", "ii"), ("m", "rn"), ("rn", "m"), ("cl", "d"), ("g", "9"), ("h", "li"), ("b", "8"), ("B", "8"), ("w", "vv"), ("c", "e"), ("Z", "2"), ("z", "2")]
+CONFUSIONS = [("e", "c"), ("E", "F"), ("i", "!"), ("n", "ri"), ("a", "@"), ("A", "@"), ("t", "+"), ("o", "0"), ("O", "0"), ("s", "5"), ("s", "$"), ("S", "5"), ("S", "$"), ("d", "cl"), ("l", "1"), ("l", "|"), ("I", "l"), ("I", "1"), ("i", "1"), ("I", "|"), ("u", "ii"), ("m", "rn"), ("rn", "m"), ("cl", "d"), ("g", "9"), ("h", "li"), ("b", "8"), ("B", "8"), ("w", "vv"), ("c", "e"), ("Z", "2"), ("z", "2"), ("о", "0"), ("О", "0"), ("з", "3"), ("З", "3"), ("б", "6"), ("ч", "4")]
 
 HYPHENS = "-\xad¬‐"
 _TERMINAL = re.compile(r"[.!?…:;。！？।؟]['\"”’“»」』）)\]]*$")
@@ -48,7 +59,7 @@ _WORD_LIKE = re.compile(r"[^\W_]|[!@$+|\-'’]")
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD_PAIRS = [("ii", "u"), ("vv", "w"), ("cl", "d"), ("li", "h"), ("ri", "n"), ("rn", "m")]
 _FOLD_PAIRS_2 = [("ri", "n"), ("li", "h"), ("ii", "u"), ("vv", "w"), ("cl", "d"), ("rn", "m")]  # for pairs that overlap, as in "riits"
-_FOLD_SIGNS = str.maketrans({"!": "i", "1": "l", "|": "l", "0": "o", "5": "s", "$": "s", "@": "a", "+": "t", "9": "g", "8": "b"})
+_FOLD_SIGNS = str.maketrans({"!": "i", "1": "l", "|": "l", "0": "o", "5": "s", "$": "s", "@": "a", "+": "t", "9": "g", "8": "b", "о": "o", "з": "3", "б": "6", "ч": "4"})
 _FOLD_LETTERS = str.maketrans({"c": "e", "f": "e"})
 
 
@@ -65,7 +76,7 @@ _PAGE_NAMES = {fold(w): w for w in ("page", "seite", "pages", "pagina", "página
 
 def is_page_number(line: str) -> bool:
     s = line.strip()
-    if not s or len(s) > 24:
+    if not s or len(s.split(None, 5)) > 5:
         return False
     if _PAGE.match(s) or _ROMAN.match(s):
         return True
@@ -88,7 +99,7 @@ def _open_end(line: str) -> bool:
 
 
 def _side_number(s: str) -> bool:
-    return len(s) <= 80 and ("  " in s or "\t" in s) and bool(_SIDE_NUMBER.search(s))
+    return ("  " in s or "\t" in s) and bool(_SIDE_NUMBER.search(s))
 
 
 class Lines:
@@ -100,8 +111,10 @@ class Lines:
         self.kind = [self._kind(s) for s in self.line]
         # a broken word may stand beyond the width
         widest = max([len(s) for s, k in zip(self.line, self.kind) if k == "text" and s[-1] not in HYPHENS and not _side_number(s)], default=0)
-        self.width = widest if widest <= 120 else 0  # 0: the text isn't wrapped
         n = len(self.line)
+        full = widest <= NARROW or sum(k == "text" == after and len(s) >= FULL * widest for s, k, after in zip(self.line, self.kind, self.kind[1:])) > 1
+        self.width = widest if full else 0  # 0: the text isn't wrapped
+        self.short = 0.7 * widest if widest > 100 else 70
         for i, (s, k) in enumerate(zip(self.line, self.kind)):
             if k == "text" and self._short(i, s, n):
                 self.kind[i] = "short"
@@ -114,14 +127,14 @@ class Lines:
             return "page"
         if _ITEM.match(s) and not s[0].isdigit():
             return "item"
-        if len(s) < 120 and ("  " in s or "\t" in s or s[0] == "|"):
+        if "  " in s or "\t" in s or s[0] == "|":
             if not _side_number(s) and _TABLE.search(s):
                 return "table"
         return "text"
 
     def _short(self, i: int, s: str, n: int) -> bool:
         """A line that was not broken because it was full, and doesn't end as running text does."""
-        if len(s) > 70 or s[0].islower() or s[-1] in ",;:" or s[-1] in HYPHENS or len(s) > 2 and not _open_end(s):
+        if len(s) > self.short or s[0].islower() or s[-1] in ",;:" or s[-1] in HYPHENS or len(s) > 2 and not _open_end(s):
             return False
         if not self.width or i + 1 >= n:
             return True
@@ -187,7 +200,7 @@ def count(texts: Iterator[str], flush: int = FLUSH) -> Iterator[tuple[str, str,
 def _counted(words: Counter, lines: dict[str, list[int]], n_lines: int) -> Iterator[tuple[str, str, int, int]]:
     cores: Counter = Counter()
     for token, n in words.items():
-        cores[_core(token)[:64]] += n
+        cores[_core(token)] += n
     yield "t", "", sum(words.values()), n_lines
     yield from (("w", w, n, 0) for w, n in cores.items() if len(w) > 1 and _LETTER.search(w))
     yield from (("l", s, n, m) for s, (n, m) in lines.items())
@@ -218,11 +231,15 @@ _START = 3 | 3 << 2 | 0 << 4 | 1 << 6 | 2 << 8
 
 
 class Trie:
-    """Vocabulary as nested tables; a word's end holds it under the empty string."""
+    """Vocabulary as nested tables; a word's end holds it under the empty string. It is one part of the vocabulary, of a bounded size."""
 
     def __init__(self, words):
         self.root: dict = {}
+        self.folded: dict[str, list[str]] = {}  # for words with several confusions, which no small distance reaches
         for w in words:
+            self.folded.setdefault(fold(w), []).append(w)
+            if not _LETTER.match(w):
+                continue
             node = self.root
             for c in w:
                 node = node.setdefault(c, {})
@@ -276,62 +293,71 @@ def confused(right: str, wrong: str, most: int = 2) -> int | None:
     return best
 
 
+def forms(word: str) -> list[str]:
+    """A word as it stands and as it may stand elsewhere: a capital may be there for the place, or be misread itself."""
+    out = [word]
+    if word[0].isupper():
+        out.append(word[0].lower() + word[1:])
+    if word.isupper() or sum(c.isupper() for c in word) >= 2:
+        out += [word.capitalize(), word.lower()]
+    return list(dict.fromkeys(out))
+
+
+def counted_as(word: str) -> list[str]:
+    """The words whose counts speak for a word."""
+    return list(dict.fromkeys([word, *([word.lower()] if word[:1].isupper() else []), *([word.capitalize()] if word.isupper() else [])]))
+
+
+def _odd(word: str) -> bool:
+    """It holds signs that are no letters."""
+    return sum(c.isalpha() for c in word) < len(word.replace("-", "").replace("’", "").replace("'", ""))
+
+
+def may_be_misread(word: str) -> bool:
+    """A word by its form: of letters and of signs that scanners put for them. (Signs that combine with letters, as in
+    Devanagari or Thai, are none of these.)"""
+    if len(word) < 2 or not _LETTER.search(word) or any(not _WORD_LIKE.match(c) and c != "’" for c in word):
+        return False
+    letters = sum(c.isalpha() for c in word)
+    return not (_odd(word) and (word[0].isupper() and word[1:].isdigit() or 2 * letters < len(word) and len(word) > 2))
+
+
+def looked_up(word: str, own: int, trie: Trie, counts: dict[str, int], most: int, ratio: int = RATIO) -> list[tuple[str, int, int]]:
+    """(candidate, -confusions, count) of the vocabulary words that a word, which stands `own` times, may be a misreading of.
+
+    A candidate is much more common; most: the count of the most common word. Confusions 9: only a misread first letter
+    of a sentence explains it.
+    """
+    least = max(LEAST, (2 if _odd(word) else ratio) * own)
+    if least > most:
+        return []
+    found: dict[str, tuple[int, int]] = {}
+    for form in forms(word):
+        for c in {*trie.within(form), *trie.folded.get(fold(form), ())}:
+            if counts[c] >= least and c != form and (k := confused(c, form, 3)):
+                found[c] = max(found.get(c, (-8, 0)), (-k, counts[c]))
+    if not word[0].isupper():
+        for right, wrong in CONFUSIONS:
+            rest = right.lower() + word[len(wrong) :]
+            if right.isupper() and word.startswith(wrong) and counts.get(rest, 0) >= least:
+                found.setdefault(right + word[len(wrong) :], (-9, counts[rest]))
+    return [(c, k, n) for c, (k, n) in found.items()]
+
+
 class Repairer:
-    def __init__(self, words: dict[str, int], headers: set[str], ratio: int = RATIO):
-        self.words, self.headers, self.ratio = words, headers, ratio
-        self.trie = Trie(w for w in words if _LETTER.match(w))
-        self._folded: dict[str, list[str]] = {}  # for words with several confusions, which no small distance reaches
-        for w in words:
-            self._folded.setdefault(fold(w), []).append(w)
-        self._verdicts: dict[str, tuple[str, ...]] = {}
+    """What is known for a group of texts. words: counts; verdicts: of misread words the candidates, likeliest first,
+    each with what it may itself be a misreading of (or None); headers: skeletons of running lines."""
+
+    def __init__(self, words: dict[str, int], verdicts: dict[str, list[tuple[str, str | None]]], headers: set[str]):
+        self.words, self.verdicts, self.headers = words, verdicts, headers
         self._tokens: dict[str, bool] = {}
 
-    def candidates(self, word: str) -> tuple[str, ...]:
+    def candidates(self, word: str) -> list[str]:
         """What the word may be a misreading of, likeliest first; empty if it is sound or nothing is known."""
-        got = self._verdicts.get(word)
-        if got is None:
-            if len(self._verdicts) > FLUSH:
-                self._verdicts.clear()
-            got = self._verdicts[word] = self._candidates(word)
-        return got
+        return [c for c, _ in self.verdicts.get(word, ())]
 
     def _count(self, word: str) -> int:
-        low = word.lower()
-        return max(self.words.get(word, 0), self.words.get(low, 0) if word[:1].isupper() else 0, self.words.get(word.capitalize(), 0) if word.isupper() else 0)
-
-    def _candidates(self, word: str) -> tuple[str, ...]:
-        if not 2 <= len(word) <= 40 or not _LETTER.search(word) or any(not _WORD_LIKE.match(c) for c in word) or ord(max(word)) > 0x250 and ord(max(word)) != 0x2019:
-            return ()
-        letters = sum(c.isalpha() for c in word)
-        odd = letters < len(word.replace("-", "").replace("’", "").replace("'", ""))
-        if odd and (word[0].isupper() and word[1:].isdigit() or 2 * letters < len(word) and len(word) > 2):
-            return ()
-        own = self._count(word)
-        forms = {word: 0}
-        if word[0].isupper():
-            forms[word[0].lower() + word[1:]] = 1
-        if word.isupper() or sum(c.isupper() for c in word) >= 2:
-            forms[word.capitalize()] = 2
-            forms[word.lower()] = 3
-        # a capital may itself be misread, so a sentence's first word is looked up in small letters too
-        found: dict[str, tuple] = {}
-        least = max(LEAST, self.ratio * own) if not odd else max(LEAST, 2 * own)
-        for form in forms:
-            for c in {*self.trie.within(form), *self._folded.get(fold(form), ())}:
-                n = self.words[c]
-                if n < least or c == form:
-                    continue
-                k = confused(c, form, 3)
-                if k:
-                    found[c] = max(found.get(c, (-9, 0)), (-k, n))
-        if not found and not word[0].isupper():
-            # a misread first letter of a sentence: the vocabulary knows the word in small letters
-            for right, wrong in CONFUSIONS:
-                if word.startswith(wrong) and right.isupper():
-                    rest = right.lower() + word[len(wrong) :]
-                    if self.words.get(rest, 0) >= least:
-                        found[right + word[len(wrong) :]] = (-1, self.words[rest])
-        return tuple(sorted(found, key=lambda c: (found[c][0], c[0].isupper() == word[0].isupper(), found[c][1]), reverse=True))
+        return max(self.words.get(w, 0) for w in counted_as(word))
 
     def parts(self, token: str) -> list[str]:
         core = _core(token)
@@ -342,8 +368,6 @@ class Repairer:
     def misread(self, token: str) -> bool:
         got = self._tokens.get(token)
         if got is None:
-            if len(self._tokens) > FLUSH:
-                self._tokens.clear()
             got = self._tokens[token] = any(self.candidates(p) for p in self.parts(token))
         return got
 
@@ -354,10 +378,8 @@ class Repairer:
             return word
         here = [c for c in found if c in near and confused(c, word) == confused(found[0], word)]
         best = here[0] if here else found[0]
-        if word[0].isupper() and not best[0].isupper():
-            best = best[0].upper() + best[1:]
-        again = self.candidates(best)  # a common misreading may itself be in the vocabulary
-        return again[0] if again else best
+        best = dict(self.verdicts[word])[best] or best  # a common misreading may itself be in the vocabulary
+        return best[0].upper() + best[1:] if word[0].isupper() and not best[0].isupper() else best
 
     def broken(self, left: str, right: str) -> bool:
         """Do the ends of two lines make one word without a hyphen?"""
@@ -483,65 +505,191 @@ def _compound(body: str) -> bool:
     return len(body) > 1 and body[-2].isalpha()
 
 
-def statistics(chunks: DataFrame) -> tuple[dict[str, int], set[str]]:
-    """Words with their counts and the skeletons of running lines, over all texts.
+class Asked:
+    """What labelling a group of texts may ask: tokens, the two parts of words broken across lines, and skeletons of lines."""
 
-    Counts are combined in each task, then by key. A word must stand LEAST times, a line twice as a running line
-    and at LINE_RATE; neither depends on the size of the table. So what comes to the driver grows with the vocabulary.
+    def __init__(self):
+        self.tokens: set[str] = set()
+        self.broken: set[tuple[str, str]] = set()
+        self.lines: set[str] = set()
+
+    def add(self, text: str) -> None:
+        p = Lines(text)
+        for i, (s, k) in enumerate(zip(p.line, p.kind)):
+            if k == "short":
+                self.lines.add(s)
+            if k not in ("text", "short", "item"):
+                continue
+            found = s.split()
+            self.tokens.update(found)
+            last = found[-1]
+            if last[-1] in HYPHENS and len(last) > 1:
+                self.tokens.add(last[:-1])
+                j = p.beside(i, 1)
+                if j >= 0:
+                    self.broken.add((last[:-1], p.line[j].split(None, 1)[0]))
+
+    def keys(self) -> tuple[list[str], list[str], list[str]]:
+        """Words to judge, words of which the count is asked, and skeletons of lines."""
+        judge: set[str] = set()
+        counts: set[str] = set()
+        todo = list(self.broken)
+        while todo:
+            left, right = todo.pop()
+            a, b = left.lstrip(_OUTER), right.rstrip(_OUTER)
+            if a and b:
+                judge.update((a + b, f"{a}-{b}"))
+                counts.update((a, b))
+                todo += [(left, b.split("-")[0])] if "-" in b else []
+                todo += [(a.rsplit("-", 1)[1], b)] if "-" in a else []
+        for token in self.tokens | {a + b for a, b in self.broken}:
+            core = _core(token)
+            judge.add(core)
+            if "-" in core.strip("-"):
+                judge.update(core.split("-"))
+        judge.discard("")
+        lines = {skeleton(s, pairs) for s in self.lines for pairs in (_FOLD_PAIRS, _FOLD_PAIRS_2)}
+        return [w for w in judge if may_be_misread(w)], list({f for w in judge | counts for f in counted_as(w)}), list(lines)
+
+
+def _batches(rows: Iterator[tuple], schema: str, size: int = 20_000):
+    """Record batches of rows, in the types of a schema of names and types."""
+    import pyarrow as pa
+
+    text = pa.list_(pa.string())
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": text, "array<long>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+
+    def batch(held):
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*held), fields)], names=[n for n, _ in fields])
+
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield batch(held)
+            held = []
+    if held:
+        yield batch(held)
+
+
+def _texts(batches) -> Iterator[tuple[int, str]]:
+    for b in batches:
+        yield from ((i, t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t)
+
+
+def statistics(chunks: DataFrame) -> DataFrame:
+    """kind (w or l), key, n: words that stand LEAST times, and the skeletons of running lines, over all texts.
+
+    Counts are combined in each task, then by key. A line must stand twice as a running line and at LINE_RATE;
+    neither cut depends on the size of the table.
     """
+    schema = "kind string, key string, n long, m long"
+    rows = chunks.mapInArrow(lambda batches: _batches(count(t for _, t in _texts(batches)), schema), schema)
+    counted = rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    kept = counted.filter((F.col("kind") == "w") & (F.col("n") >= LEAST) | (F.col("kind") == "l") & (F.col("m") >= 2) & (F.col("m") >= LINE_RATE * F.col("n")))
+    return written(kept.select("kind", "key", "n"), "counts")
+
+
+def groups(chunks: DataFrame) -> DataFrame:
+    """grp, ids, texts, judge, counts, lines: texts in groups of about GROUP characters, with what each group asks."""
+    schema = "grp long, ids array<long>, texts array<string>, judge array<string>, counts array<string>, lines array<string>"
 
     def run(batches):
-        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() << 32
+
+        def rows():
+            n, held, size, asked = 0, [], 0, Asked()
+            for chunk, text in _texts(batches):
+                held.append((chunk, text))
+                size += len(text)
+                asked.add(text)
+                if size >= GROUP:
+                    yield part + n, *zip(*held), *asked.keys()
+                    n, held, size, asked = n + 1, [], 0, Asked()
+            if held:
+                yield part + n, *zip(*held), *asked.keys()
+
+        yield from _batches(rows(), schema, 4)
+
+    return written(chunks.mapInArrow(run, schema), "groups")
 
-        def texts():
-            for batch in batches:
-                yield from (t for t in batch.column(0).to_pylist() if t)
-
-        rows: list[tuple] = []
-        names = ["kind", "key", "n", "m"]
-        for row in count(texts()):
-            rows.append(row)
-            if len(rows) == 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
-
-    counted = chunks.select("text").mapInArrow(run, "kind string, key string, n long, m long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    kept = counted.filter((F.col("kind") == "w") & (F.col("n") >= LEAST) | (F.col("kind") == "l") & (F.col("m") >= 2) & (F.col("m") >= LINE_RATE * F.col("n")))
-    words: dict[str, int] = {}
-    headers: set[str] = set()
-    for r in kept.select("kind", "key", "n").toLocalIterator():
-        if r.kind == "w":
-            words[r.key] = r.n
-        else:
-            headers.add(r.key)
-    return words, headers
 
+def verdicts(words: DataFrame, vocabulary: DataFrame, trie: int | None = None, lookups: int | None = None) -> DataFrame:
+    """word, found (array of candidates, likeliest first) of the words (word) that are likely misread.
 
-_REPAIRERS: dict[str, Repairer] = {}
+    vocabulary: key, n. It is cut into parts of about `trie` words by their hash; words into slices of about `lookups`.
+    Every slice meets every part, so retrieval is complete, and no task holds more than one part and one slice.
+    """
+    schema = "word string, form string"
+    each = words.mapInArrow(lambda batches: _batches(((w, f) for b in batches for w in b.column(0).to_pylist() for f in counted_as(w)), schema), schema)
+    known = vocabulary.select(F.col("key").alias("form"), "n")
+    own = each.join(known, "form", "left").groupBy("word").agg(F.coalesce(F.max("n"), F.lit(0)).alias("own"))
+    sizes = vocabulary.agg(F.count(F.lit(1)).alias("n")).crossJoin(words.agg(F.count(F.lit(1)).alias("m"))).first()
+    parts, slices = 1 + sizes.n // (trie or TRIE), 1 + sizes.m // (lookups or LOOKUPS)
+    hashed = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = own.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), hashed("word", slices).alias("slice"), "word", "own")
+    right = vocabulary.select(hashed("key", parts).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "key", "n")
+
+    def run(asked, part):
+        import pyarrow as pa
+
+        counts = dict(zip(part["key"].to_pylist(), part["n"].to_pylist()))
+        held, most = Trie(counts), max(counts.values(), default=0)
+        rows = [(w, *row) for w, o in zip(asked["word"].to_pylist(), asked["own"].to_pylist()) for row in looked_up(w, o, held, counts, most)]
+        columns = list(zip(*rows)) or [[]] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["word", "cand", "k", "n"])
+
+    tasks = min(2 * parts * slices, 10_000)  # a number given is kept, however small the tables are
+    left, right = (d.repartition(tasks, "part", "slice") for d in (left, right))
+    rows = left.groupBy("part", "slice").cogroup(right.groupBy("part", "slice")).applyInArrow(run, "word string, cand string, k int, n long")
+    capital = lambda c: F.substring(c, 1, 1) != F.lower(F.substring(c, 1, 1))
+    order = F.struct("k", (capital(F.col("cand")) == capital(F.col("word"))).alias("same"), "n", "cand")
+    ranked = rows.groupBy("word").agg(F.sort_array(F.collect_set(order), asc=False).alias("all"))  # words within two changes, or of one folded form
+    first = F.filter("all", lambda c: (c["k"] > -9) | (F.col("all")[0]["k"] == -9))
+    found = written(ranked.select("word", F.transform(first, lambda c: c["cand"]).alias("found")), "verdicts")
+    again = found.select(F.col("word").alias("cand"), F.col("found")[0].alias("again"))
+    pairs = found.select("word", F.posexplode("found").alias("at", "cand")).join(again, "cand", "left")
+    return pairs.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "cand", "again"))).alias("f")).select("word", F.transform("f", lambda c: F.struct(c["cand"].alias("cand"), c["again"].alias("again"))).alias("found"))
+
+
+def answered(chunks: DataFrame) -> DataFrame:
+    """grp, ids, texts, known (array of word, n, found), headers: groups of texts with the answers to what they ask."""
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "text").filter("text is not null")
+    counts = statistics(rows)
+    packed = groups(rows)
+    vocabulary = counts.filter("kind = 'w'").select("key", "n")
+    judge = packed.select("grp", F.explode("judge").alias("word"))
+    found = verdicts(judge.select("word").distinct(), vocabulary)
+    numbers = packed.select("grp", F.explode("counts").alias("word")).join(vocabulary.withColumnRenamed("key", "word"), "word")
+    misread = judge.join(found, "word")
+    both = numbers.withColumn("found", F.lit(None).cast(found.schema["found"].dataType)).unionByName(misread.withColumn("n", F.lit(None).cast("long")))
+    # what a group asks is bounded by its texts
+    known = both.groupBy("grp").agg(F.collect_list(F.struct("word", "n", "found")).alias("known"))
+    lines = packed.select("grp", F.explode("lines").alias("key")).join(counts.filter("kind = 'l'").select("key"), "key")
+    headers = lines.groupBy("grp").agg(F.collect_list("key").alias("headers"))
+    return packed.select("grp", "ids", "texts").join(known, "grp", "left").join(headers, "grp", "left")
 
 
 def _mapped(chunks: DataFrame, each, schema: str) -> DataFrame:
     """Rows that `each` makes of (repairer, chunk_id, text), with the statistics of all texts."""
-    shared = chunks.sparkSession.sparkContext.broadcast(statistics(chunks))
-    token = uuid.uuid4().hex
-    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
-        import pyarrow as pa
-
-        kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[f.split()[1]] for f in schema.split(", ")]
-        repairer = _REPAIRERS.get(token)
-        if repairer is None:
-            _REPAIRERS.clear()
-            repairer = _REPAIRERS[token] = Repairer(*shared.value)
-        for batch in batches:
-            rows = [row for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text for row in each(repairer, chunk, text)]
-            columns = list(zip(*rows)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-    return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "text").mapInArrow(run, schema)
+        def rows():
+            for b in batches:
+                for k in range(b.num_rows):
+                    _, ids, texts, known, headers = (c[k].as_py() for c in b.columns)
+                    words = {x["word"]: x["n"] for x in known or () if x["n"] is not None}
+                    misread = {x["word"]: [(f["cand"], f["again"]) for f in x["found"]] for x in known or () if x["found"]}
+                    repairer = Repairer(words, misread, set(headers or ()))
+                    for chunk, text in zip(ids, texts):
+                        yield from each(repairer, chunk, text)
+
+        yield from _batches(rows(), schema)
+
+    return answered(chunks).select("grp", "ids", "texts", "known", "headers").mapInArrow(run, schema)
 
 
 def damaged_lines(chunks: DataFrame) -> DataFrame:

@@ -44,11 +44,21 @@ def corpus():
     return plain, hurt
 
 
-def repairer(texts):
+def repairer(texts, broken=()):
     counted = list(sc.count(iter(texts)))
     words = {k: n for kind, k, n, _ in counted if kind == "w" and n >= 3}
     headers = {k for kind, k, n, m in counted if kind == "l" and m >= 2 and m >= sc.LINE_RATE * n}
-    return sc.Repairer(words, headers)
+    asked = sc.Asked()
+    for x in texts:
+        asked.add(x)
+    asked.broken |= set(broken)
+    trie, found = sc.Trie(words), {}
+    for w in asked.keys()[0]:
+        own = max(words.get(f, 0) for f in sc.counted_as(w))
+        rows = sorted(sc.looked_up(w, own, trie, words, max(words.values())), key=lambda r: (r[1], r[0][0].isupper() == w[0].isupper(), r[2], r[0]), reverse=True)
+        if rows:
+            found[w] = [c for c, k, _ in rows if k > -9 or rows[0][1] == -9]
+    return sc.Repairer(words, {w: [(c, found.get(c, [None])[0]) for c in cs] for w, cs in found.items()}, headers)
 
 
 def test_labels_and_repair(corpus):
@@ -94,7 +104,7 @@ def test_confusions_and_page_numbers():
 
 def test_compounds_keep_their_hyphen(corpus):
     plain, _ = corpus
-    r = repairer(plain + ["a well-known two-stage pump by Thornley-Vask went to storage with notes"] * 5)
+    r = repairer(plain + ["a well-known two-stage pump by Thornley-Vask went to storage with notes"] * 5, [("two", "st@ge"), ("well", "known"), ("Thornley", "Vask"), ("super", "vision"), ("draw", "ing"), ("two", "stage")])
     for a, b, broken in (("two-", "stage", False), ("well-", "known", False), ("Thornley-", "Vask", False), ("super-", "vision", True), ("draw-", "ing", True), ("two-", "st@ge", False)):
         assert r.broken(a[:-1], b) is broken, (a, b)
 
@@ -115,5 +125,34 @@ def test_tables(spark, corpus):
 def test_what_is_known_does_not_depend_on_the_size_of_the_table(spark):
     many = spark.range(5).selectExpr("repeat('timber ', 1000000) as text")
     few = spark.createDataFrame([("the ledger lay beside the timber under the gate",)] * 4, "text string")
-    words, _ = sc.statistics(many.unionByName(few))
+    both = many.unionByName(few).selectExpr("0L as chunk_id", "text")
+    words = {r.key: r.n for r in sc.statistics(both).collect()}
     assert words["timber"] == 5_000_004 and words["ledger"] == 4
+
+
+def test_every_script_and_length_is_checked(spark):
+    long = "pneumonoultramicroscopicsilicovolcanoconiosisuntersuchung"
+    plain = [f"важный документ лежит рядом и {long} steht hier daneben" for _ in range(50)]
+    hurt = ["важный д0кумент лежит рядом", f"und {long.replace('scopic', 'sc0pic')} steht hier daneben", "важный документ лежит рядом"]
+    df = spark.createDataFrame(list(enumerate(plain + hurt)), "chunk_id long, text string")
+    assert {(r.chunk_id, r.kind) for r in sc.damaged_lines(df).collect()} == {(50, "misread"), (51, "misread")}
+    assert {r.chunk_id: r.text for r in sc.repaired(df).collect()}[50] == "важный документ лежит рядом"
+
+
+def test_a_running_line_of_one_file_is_known_among_many(spark):
+    body = "the boiler was opened before noon and\nBRENN PUMP STATION WEST\nput away again by the crew of the house"
+    other = spark.range(20_000).selectExpr("id + 100 as chunk_id", "concat('Heading of number ', id, '\n\nThe crew went home.') as text")
+    df = spark.createDataFrame([(i, body) for i in range(3)], "chunk_id long, text string").unionByName(other)
+    got = {(r.chunk_id, r.line_no, r.kind) for r in sc.damaged_lines(df).filter("kind = 'header'").collect()}
+    assert got == {(i, 2, "header") for i in range(3)}
+
+
+def test_parts_of_the_vocabulary_and_slices_give_the_same(spark):
+    rng = random.Random(2)
+    base = {"".join(rng.choice("aeotirnmdl") for _ in range(rng.randint(4, 8))) for _ in range(150)}
+    words = {**{w.replace(a, b, 1): 3 for w in base for a, b in (("e", "c"), ("m", "rn"), ("o", "0"))}, **{w: rng.choice([500, 2000]) for w in base}}
+    vocabulary = spark.createDataFrame(list(words.items()), "key string, n long")
+    asked = spark.createDataFrame([(w,) for w in words], "word string")
+    whole = {r.word: [tuple(f) for f in r.found] for r in sc.verdicts(asked, vocabulary).collect()}
+    cut = {r.word: [tuple(f) for f in r.found] for r in sc.verdicts(asked, vocabulary, trie=40, lookups=30).collect()}
+    assert whole == cut and len(whole) > 20
