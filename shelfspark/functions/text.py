@@ -37,8 +37,12 @@ def _plain_letters() -> tuple[str, str]:
 MARKED, UNMARKED = _plain_letters()
 
 
+#: The characters of WS.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def n_words(c: Column) -> Column:
@@ -78,8 +82,7 @@ def is_heading(line: Column) -> Column:
     capitals = (letters >= 4) & (n_words(core) >= 2) & (letters >= 0.7 * solid) & (_count(s, r"\p{Lu}") > 0.9 * letters)
     numbered = s.rlike(NUMBERED) & core.rlike(r"^\p{Lu}") & (n_words(core) <= 8)
     # the cheap tests come first: most lines are running text and need no more
-    short = (F.length(line) <= 90) | (F.length(s) <= 90)
-    fits = short & (F.length(s) >= 3) & ~s.rlike("[.,;]$") & (F.length(s) <= 90) & (letters >= 3) & (n_words(s) <= 12) & (letters >= 0.5 * solid)
+    fits = (F.length(s) <= 90) & (F.length(s) >= 3) & ~F.right(s, F.lit(1)).isin(".", ",", ";") & (letters >= 3) & (n_words(s) <= 12) & (letters >= 0.5 * solid)
     return fits & (known | capitals | numbered)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.util import is_blank, ranked
+from shelfspark.util import is_blank, numbered, ranked
 
 CITATIONS = T.ArrayType(T.StructType([T.StructField("ref", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("page", T.IntegerType())]))
 
@@ -20,10 +20,13 @@ def sessions_of(sessions: DataFrame) -> DataFrame:
 
 def session_list(sessions: DataFrame, most: int | None = None) -> DataFrame:
     """Sessions of each user, the last used first: adds `n`. most: only so many for each user; then tasks hand on
-    no more, so a busy user is no matter."""
-    n = F.row_number().over(W.partitionBy("username").orderBy(F.col("updated_at").desc_nulls_last(), "session_id"))
-    numbered = sessions_of(sessions).withColumn("n", n)
-    return numbered.filter(F.col("n") <= most) if most else numbered
+    no more. Otherwise they are numbered by day, so a busy user is spread over tasks."""
+    rows, order = sessions_of(sessions), [F.col("updated_at").desc_nulls_last(), F.col("session_id")]
+    if most:
+        n = F.row_number().over(W.partitionBy("username").orderBy(*order))
+        return rows.withColumn("n", n).filter(F.col("n") <= most)
+    day = F.coalesce(-F.unix_date(F.to_date("updated_at")), F.lit(1 << 30))
+    return numbered(rows, "username", order, day, "n")
 
 
 def view_role(role: Column) -> Column:

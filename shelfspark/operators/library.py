@@ -14,7 +14,8 @@ from shelfspark.operators.incremental import MTIME_TOLERANCE, latest
 #: Labels of a file's state. Fixed values.
 STATE_LABELS = {"needs_ocr": "scanned, waiting for OCR", "no_text": "no readable text", "error": "couldn't be read", "too_large": "too large, skipped"}
 
-LISTED = 80
+#: Documents listed of a folder, and folders walked. Fixed values.
+LISTED, WALKED = 80, 20_000
 
 
 def current_files(files: DataFrame) -> DataFrame:
@@ -125,12 +126,12 @@ def tree(files: DataFrame, folder: str, most: int = LISTED) -> DataFrame:
     counts = below.select(F.explode(prefixes).alias("parts")).groupBy("parts").agg(F.count(F.lit(1)).alias("n"))
     name = F.concat(F.lit("📁 **"), markdown_escape(F.element_at("parts", -1)), F.lit("/** ("), F.col("n").cast("string"), F.when(F.col("n") == 1, " document)").otherwise(" documents)"))
     dirs = counts.select(place(F.col("parts"), F.lit("")).alias("place"), (F.size("parts") - 1).alias("depth"), F.lit(True).alias("is_folder"), name.alias("line"))
-    return docs.orderBy("place").limit(most).unionByName(dirs)
+    return docs.orderBy("place").limit(most).unionByName(dirs.orderBy("place").limit(WALKED))
 
 
 def inventory_text(files: DataFrame, folder: str, most: int = LISTED) -> str:
     """What a folder holds, as Markdown. Its documents are counted; the lines are those of `tree`."""
-    rows = tree(files, folder, most).orderBy("place").collect()  # `most` documents and the folders
+    rows = tree(files, folder, most).orderBy("place").collect()  # `most` documents and WALKED folders at most
     total = files.filter(in_scope(F.col("path_key"), folder)).count()
     escape = str.maketrans({c: "\\" + c for c in "\\`*_[]<>#|"})
     title = folder.rstrip("/").rpartition("/")[2].translate(escape)

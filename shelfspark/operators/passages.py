@@ -114,13 +114,22 @@ def margin_lines(pages: DataFrame) -> DataFrame:
 
 
 def page_segments(pages: DataFrame) -> DataFrame:
-    """(file_id, segments) of files given by page (file_id, page, text): without margin lines and lines that are only
-    a number, each page cut to headings and paragraphs, with its number. Pages go together by file: a file's text is
-    one row, as readers give it."""
+    """(file_id, n, page, is_heading, text) of files given by page (file_id, page, text): without margin lines and lines
+    that are only a number, each page cut to headings and paragraphs; n counts a file's from 0.
+
+    Only the margin lines of a file are put together (a page has four at most that count, and they stand on half of its
+    pages, so they are few); its pages stay apart and are numbered in blocks.
+    """
     margins = margin_lines(pages.withColumn("page_id", F.col("page"))).groupBy("file_id").agg(F.collect_set("line").alias("margins"))
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda s: (strip(s) == "") | ~(F.coalesce(F.array_contains("margins", strip(s)), F.lit(False)) | strip(s).rlike(r"^\p{Nd}+$")))
     cut = pages.join(margins, "file_id", "left").select("file_id", "page", line_segments(F.array_join(kept, "\n")).alias("s"))
-    each = cut.select("file_id", "page", F.transform("s", lambda x: F.struct(x["text"].alias("text"), x["is_heading"].alias("is_heading"), F.col("page").alias("page"), F.lit(False).alias("ocr"))).alias("s"))
-    whole = each.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("page", "s"))).alias("p"))
-    return whole.select("file_id", F.flatten(F.col("p.s")).alias("segments"))
+    each = cut.select("file_id", "page", F.posexplode("s").alias("k", "s")).select("file_id", "page", "k", F.col("s.is_heading").alias("is_heading"), F.col("s.text").alias("text"))
+    placed = numbered(each, "file_id", [F.col("page"), F.col("k")], F.floor(F.col("page") / BLOCK), "n")
+    return placed.select("file_id", (F.col("n") - 1).alias("n"), "page", "is_heading", "text")
+
+
+def joined_pages(segments: DataFrame) -> DataFrame:
+    """(file_id, segments) of `page_segments`, as the chunker reads documents: a file is one row there."""
+    one = F.struct("n", F.struct("text", "is_heading", "page", F.lit(False).alias("ocr")).alias("s"))
+    return segments.groupBy("file_id").agg(F.array_sort(F.collect_list(one)).alias("p")).select("file_id", F.col("p.s").alias("segments"))

@@ -111,8 +111,7 @@ def margin_lines(spark, sf):
 @query
 def page_segments(spark, sf):
     pages = _chunks(spark, sf, "text").filter("text is not null").select("file_id", F.col("chunk_id").cast("int").alias("page"), "text")
-    rows = passages.page_segments(pages).select(F.col("file_id").alias("doc_id"), F.posexplode("segments").alias("n", "s"))
-    return rows.select(F.col("doc_id").alias("file_id"), "n", F.col("s.page").alias("page"), F.col("s.is_heading").alias("is_heading"), F.col("s.text").alias("text"))
+    return passages.page_segments(pages)
 
 
 @query

@@ -68,9 +68,12 @@ def clear_written() -> None:
 atexit.register(clear_written)
 
 
+_BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200C))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def strip_blank(c: Column) -> Column:
     """Without outer blanks (see BLANK)."""
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def is_blank(c: Column) -> Column:

@@ -143,7 +143,7 @@ def test_margin_lines_and_page_segments(spark):
     pages = [(1, p, f"RUNNING HEAD\n{p}\nBody of page {p} goes\non with {p}.\nfoot") for p in (1, 2, 3)] + [(2, 1, "a\nb")]
     df = spark.createDataFrame(pages, "file_id long, page int, text string")
     assert {(r.line, r.n) for r in passages.margin_lines(df.withColumn("page_id", F.col("page"))).collect()} == {("RUNNING HEAD", 3), ("foot", 3)}
-    segments = {r.file_id: [(s.text, s.page) for s in r.segments] for r in passages.page_segments(df).collect()}
+    segments = {r.file_id: [(s.text, s.page) for s in r.segments] for r in passages.joined_pages(passages.page_segments(df)).collect()}
     assert segments == {1: [(f"Body of page {p} goes on with {p}.", p) for p in (1, 2, 3)], 2: [("a b", 1)]}
 
 
