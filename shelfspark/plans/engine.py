@@ -102,7 +102,7 @@ class Engine:
         everything, inside = self.docs(), library.in_scope(F.col("path_key"), folder, files)
         docs, known = everything.filter(inside), self.store.files().filter(inside)
         vectors = self.store.chunks().select("chunk_id", F.col("embedding").alias("v"))
-        out = answers(docs, known, questions, self.settings, self.scorer, self.answerer, files, self.condenser, self.rewriter, everything, self.embedder, vectors)
+        out = answers(docs, known, questions, self.settings, self.scorer, self.answerer, files, self.condenser, self.rewriter, everything, self.embedder, vectors, self.store.postings())
         if not route(questions).filter("other = 'inventory'").limit(1).count():
             return out
         text = library.file_text(known, files[0]) if files else library.inventory_text(known, folder)
@@ -119,7 +119,7 @@ def route(questions: DataFrame) -> DataFrame:
     return questions.withColumn("wanted", wanted).withColumn("other", other)
 
 
-def passages_for(docs: DataFrame, files: DataFrame, questions: DataFrame, settings: Settings = Settings(), scorer=search.shared_words, scope: list[str] | None = None, corpus: DataFrame | None = None, embedder=search.hashed_words, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def passages_for(docs: DataFrame, files: DataFrame, questions: DataFrame, settings: Settings = Settings(), scorer=search.shared_words, scope: list[str] | None = None, corpus: DataFrame | None = None, embedder=search.hashed_words, vectors: DataFrame | None = None, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(query_id, chunk_id, ref, relevance, mode) of the passages each question is answered from; (query_id, message)
     of page questions of which there are none; and the questions with their mode. questions: query_id, text and, if
     it differs, query, what is searched for.
@@ -131,7 +131,7 @@ def passages_for(docs: DataFrame, files: DataFrame, questions: DataFrame, settin
     """
     routed = written(route(questions), "routed")
     searched = questions.select("query_id", F.col("query" if "query" in questions.columns else "text").alias("text"))
-    hits = written(search.hybrid(docs, searched, settings, scorer=scorer, corpus=corpus, embedder=embedder, vectors=vectors), "hits")  # read by every branch below
+    hits = written(search.hybrid(docs, searched, settings, scorer=scorer, corpus=corpus, embedder=embedder, vectors=vectors, index=index), "hits")  # read by every branch below
     file_of = docs.select("chunk_id", "file_id", "path_key")
     paging = routed.filter("wanted is not null").select("query_id", "wanted")
     if scope:
@@ -186,7 +186,7 @@ def folder_note(found: DataFrame, docs: DataFrame, n_files: int) -> DataFrame:
     return shown.filter(F.col("n") < n_files).select("query_id", F.concat(F.lit(" (they come from "), F.col("n").cast("string"), F.lit(f" of the {n_files} files in the folder)")).alias("note"))
 
 
-def answers(docs: DataFrame, files: DataFrame, questions: DataFrame, settings: Settings = Settings(), scorer=search.shared_words, answerer=None, scope: list[str] | None = None, condenser=None, rewriter=None, corpus: DataFrame | None = None, embedder=search.hashed_words, vectors: DataFrame | None = None) -> DataFrame:
+def answers(docs: DataFrame, files: DataFrame, questions: DataFrame, settings: Settings = Settings(), scorer=search.shared_words, answerer=None, scope: list[str] | None = None, condenser=None, rewriter=None, corpus: DataFrame | None = None, embedder=search.hashed_words, vectors: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """The whole pipeline: route, retrieve, judge the evidence, answer, cite.
 
     status: answered, not_found (no passage is relevant enough), no_llm (passages, but no answerer) or llm_error (the
@@ -198,7 +198,7 @@ def answers(docs: DataFrame, files: DataFrame, questions: DataFrame, settings: S
         made = condenser(questions).select("query_id", F.col("query").alias("_q"))
         questions = questions.join(made, "query_id", "left").withColumn("query", F.coalesce("_q", "text")).drop("_q")
     by_files = bool(scope)
-    retrieve = lambda q: passages_for(docs, files, q, settings, scorer, scope, corpus, embedder, vectors)
+    retrieve = lambda q: passages_for(docs, files, q, settings, scorer, scope, corpus, embedder, vectors, index)
     parts, notes, routed = retrieve(questions)
     found, notes, routed = written(parts, "passages"), written(notes, "notes"), written(routed, "routed")
     best_of = lambda rows: rows.groupBy("query_id").agg(F.min(F.struct("ref", F.coalesce("relevance", F.lit(1.0)).alias("r"))).alias("t")).select("query_id", F.col("t.r").alias("top"))

@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.operators.incremental import VersionConflict
+from shelfspark.operators.search import index_of
 from shelfspark.util import ranked
 
 FILES = "file_id long, path_key string, path string, name string, ext string, size long, mtime double, status string, error string, num_pages int, num_chunks int, ocr_pages int, indexed_at timestamp"
 CHUNKS = "chunk_id long, file_id long, ordinal int, text string, section string, page_start int, page_end int, ocr boolean, embedding array<float>"
+POSTINGS = "term string, chunk_id long, len int, f double"
 FOLDERS = "path_key string, path string, synced_at timestamp"
 
 #: Chunks of a file get the ids file_id * SPAN + ordinal, so ids are in reading order.
@@ -41,7 +43,7 @@ class IndexStore:
         """What the newest version holds: files and folders (a path or null), parts, dropped, meta."""
         v = self.version()
         if not v:
-            return {"version": 0, "next": 1, "files": None, "folders": None, "parts": [], "dropped": [], "meta": {}}
+            return {"version": 0, "next": 1, "files": None, "folders": None, "parts": [], "postings": [], "dropped": [], "meta": {}}
         stream = self._fs.open(self._path(f"{self.root}/versions/{v}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode()) | {"version": v}
@@ -76,13 +78,23 @@ class IndexStore:
         """Chunks that count: of each part those of files that no later run dropped."""
         return self._chunks(self.state())
 
+    def postings(self) -> DataFrame:
+        """The inverted index of the chunks that count (see `search.index_of`), kept with each part."""
+        s = self.state()
+        return self._living(s, s["postings"], POSTINGS)
+
     def _chunks(self, s: dict) -> DataFrame:
-        out = self._read(None, CHUNKS)
-        for i, part in enumerate(s["parts"]):
-            rows = self._read(part, CHUNKS)
+        return self._living(s, s["parts"], CHUNKS)
+
+    def _living(self, s: dict, parts: list[str], schema: str) -> DataFrame:
+        """Rows of all parts without those of files that a later run dropped."""
+        out = self._read(None, schema)
+        for i, part in enumerate(parts):
+            rows = self._read(part, schema)
             later = [d for k, d in s["dropped"] if k > i]
             if later:
-                rows = rows.join(self.spark.read.schema("file_id long").parquet(*later), "file_id", "left_anti").select(rows.columns)
+                gone = self.spark.read.schema("file_id long").parquet(*later).withColumnRenamed("file_id", "_file")
+                rows = rows.join(gone, F.expr(f"chunk_id div {SPAN}") == F.col("_file"), "left_anti").select(rows.columns)
             out = out.unionByName(rows)
         return out
 
@@ -111,8 +123,10 @@ class IndexStore:
         ids = table.select("path_key", "file_id")
         numbered = chunks.drop("file_id", "chunk_id").join(ids, "path_key").withColumn("chunk_id", F.col("file_id") * SPAN + F.col("ordinal"))
         part = self._write(numbered.select([c.split()[0] for c in CHUNKS.split(", ")]), "chunks")
+        named = self._read(part, CHUNKS).join(table.select("file_id", "name"), "file_id")
+        index = self._write(index_of(named).repartitionByRange("term").sortWithinPartitions("term"), "postings")  # sorted: a scan skips other terms
         dropped = self._write(known.join(touched.distinct(), "path_key", "left_semi").select("file_id"), "dropped")
-        return self._publish(s, next=following, files=path, parts=[*s["parts"], part], dropped=[*s["dropped"], [len(s["parts"]), dropped]])
+        return self._publish(s, next=following, files=path, parts=[*s["parts"], part], postings=[*s["postings"], index], dropped=[*s["dropped"], [len(s["parts"]), dropped]])
 
     def _numbered(self, new: DataFrame, first: int) -> tuple[DataFrame, int]:
         """Rows without a file_id get one from `first` on, by path_key; and the first id that is left."""
@@ -127,7 +141,7 @@ class IndexStore:
 
     def clear(self) -> int:
         """Remove files and chunks; settings and folders stay."""
-        return self._publish(self.state(), files=None, parts=[], dropped=[])
+        return self._publish(self.state(), files=None, parts=[], postings=[], dropped=[])
 
     def mark_synced(self, synced: DataFrame) -> int:
         """Add or replace folders: path_key, path, synced_at."""
@@ -153,4 +167,5 @@ class IndexStore:
     def compact(self) -> int:
         """Put all parts together into one."""
         s = self.state()
-        return self._publish(s, parts=[self._write(self._chunks(s), "chunks")], dropped=[])
+        index = self._living(s, s["postings"], POSTINGS).repartitionByRange("term").sortWithinPartitions("term")
+        return self._publish(s, parts=[self._write(self._chunks(s), "chunks")], postings=[self._write(index, "postings")], dropped=[])

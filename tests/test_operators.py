@@ -35,6 +35,29 @@ def test_bm25_equals_full_text_search_of_sqlite(spark):
         assert [(r.chunk_id, pytest.approx(r.score, rel=1e-9)) for r in got.orderBy("rank").collect()] == want
 
 
+def test_stems_and_kept_index_equal_full_text_search_of_sqlite(spark, tmp_path):
+    from shelfspark.functions.stems import stem
+
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table f using fts5(text, section, name, tokenize='porter unicode61')")
+    words = "caresses ponies ties caress cats feed agreed plastered bled motoring sing conflated troubled sized hopping tanned falling hissing fizzed failing filing happy sky relational conditional rational valency hesitancy digitizer conformably radically differently vilely analogously vietnamization predication operator feudalism decisiveness hopefulness callousness formality sensitivity sensibility triplicate formative formalize electricity electrical hopeful goodness revival allowance inference airliner gyroscopic adjustable defensible irritant replacement adjustment dependent adoption homologous communism activate angularity effective bowdlerize probate rate cease controlling rolling a is by yes says eying generalizations oscillators yellow syzygy geology".split()
+    rows = [(i, w, None, None) for i, w in enumerate(words, 100)] + CORPUS + [(50, "pumping pumps by the crew", "Pumped rivers", "pumps.txt")]
+    con.executemany("insert into f(rowid, text, section, name) values (?, ?, ?, ?)", rows)
+    con.execute("create virtual table v using fts5vocab(f, instance)")
+    kept = {doc: term for term, doc in con.execute("select term, doc from v where doc >= 100")}
+    assert {w: stem(w) for w in words} == {w: kept[i] for i, w in enumerate(words, 100)}
+    path = str(tmp_path / "index")
+    search.index_of(docs(spark, rows)).write.parquet(path)
+    index = spark.read.parquet(path)
+    for text in ("pump", "rivers pumps pumping", "bridges for crews"):
+        q = spark.createDataFrame([(1, text)], "query_id long, text string")
+        terms = q.select("query_id", search.stemmed_terms(F.col("text")).alias("terms"))
+        asked = q.select(search_tokens(F.col("text")).alias("t")).first().t
+        want = con.execute("select rowid, -bm25(f, 1.0, 0.6, 0.3) from f where f match ? order by 2 desc, 1", (" OR ".join(f'"{t}"' for t in asked),)).fetchall()
+        got = search.bm25(docs(spark, rows), terms, 50, index=index)
+        assert [(r.chunk_id, pytest.approx(r.score, rel=1e-9)) for r in got.orderBy("rank").collect()] == want
+
+
 def test_bm25_scope_ties_and_empty_tables(spark):
     q = spark.createDataFrame([(1, ["pump"]), (2, [])], "query_id long, terms array<string>")
     all_ = search.bm25(docs(spark, CORPUS), q)
