@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfspark.functions.text import line_segments, strip
+from shelfspark.operators.layout import page_texts
 from shelfspark.util import numbered, written
 
 #: Sections at the end of a document that say nothing of its subject. Fixed pattern.
@@ -113,7 +114,7 @@ def margin_lines(pages: DataFrame) -> DataFrame:
     return counts.join(total, "file_id").filter(F.col("n") >= F.greatest(F.lit(3), F.floor(F.col("pages") / 2))).select("file_id", "line", "n")
 
 
-def page_segments(pages: DataFrame) -> DataFrame:
+def page_segments(pages: DataFrame, scanned: bool = False) -> DataFrame:
     """(file_id, n, page, is_heading, text) of files given by page (file_id, page, text): without margin lines and lines
     that are only a number, each page cut to headings and paragraphs; n counts a file's from 0.
 
@@ -123,13 +124,20 @@ def page_segments(pages: DataFrame) -> DataFrame:
     margins = margin_lines(pages.withColumn("page_id", F.col("page"))).groupBy("file_id").agg(F.collect_set("line").alias("margins"))
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda s: (strip(s) == "") | ~(F.coalesce(F.array_contains("margins", strip(s)), F.lit(False)) | strip(s).rlike(r"^\p{Nd}+$")))
-    cut = pages.join(margins, "file_id", "left").select("file_id", "page", line_segments(F.array_join(kept, "\n")).alias("s"))
+    cut = pages.join(margins, "file_id", "left").select("file_id", "page", line_segments(F.array_join(kept, "\n"), scanned).alias("s"))
     each = cut.select("file_id", "page", F.posexplode("s").alias("k", "s")).select("file_id", "page", "k", F.col("s.is_heading").alias("is_heading"), F.col("s.text").alias("text"))
     placed = numbered(each, "file_id", [F.col("page"), F.col("k")], F.floor(F.col("page") / BLOCK), "n")
     return placed.select("file_id", (F.col("n") - 1).alias("n"), "page", "is_heading", "text")
 
 
-def joined_pages(segments: DataFrame) -> DataFrame:
+def scanned_segments(pages: DataFrame) -> DataFrame:
+    """(file_id, segments) of scanned pages as an OCR gives them: file_id, page, boxes (array of x0, y0, x1, y1, text).
+
+    Boxes are put in reading order, pages freed of margin lines and cut to headings and paragraphs."""
+    return joined_pages(page_segments(page_texts(pages), True), True)
+
+
+def joined_pages(segments: DataFrame, scanned: bool = False) -> DataFrame:
     """(file_id, segments) of `page_segments`, as the chunker reads documents: a file is one row there."""
-    one = F.struct("n", F.struct("text", "is_heading", "page", F.lit(False).alias("ocr")).alias("s"))
+    one = F.struct("n", F.struct("text", "is_heading", "page", F.lit(scanned).alias("ocr")).alias("s"))
     return segments.groupBy("file_id").agg(F.array_sort(F.collect_list(one)).alias("p")).select("file_id", F.col("p.s").alias("segments"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions import text as tx
-from shelfspark.operators import history, library, metrics, search
+from shelfspark.operators import history, library, metrics, passages, search
 from shelfspark.plans import engine
 from shelfspark.plans.further_sql import ORACLE  # noqa: F401
 from shelfspark.plans.queries import _chunks, _docs, _files, _hits, _questions
@@ -35,6 +35,16 @@ def _stored(spark, sf) -> IndexStore:
     return store
 
 
+@query
+def scanned_pages(spark, sf):
+    """Pages made up from the chunks' lines, one box each in a single column, read back as headings and paragraphs."""
+    lines = F.filter(F.transform(F.split("text", "\n"), tx.strip), lambda s: s != "")
+    place = lambda w, i: F.struct(F.lit(50.0).alias("x0"), (10.0 + 30 * i).cast("double").alias("y0"), F.lit(500.0).alias("x1"), (30.0 + 30 * i).cast("double").alias("y1"), w.alias("text"))
+    pages = _chunks(spark, sf, "text").filter("text is not null").select("file_id", F.col("chunk_id").cast("int").alias("page"), F.transform(lines, place).alias("boxes"))
+    rows = passages.scanned_segments(pages).select("file_id", F.posexplode("segments").alias("n", "s"))
+    return rows.select("file_id", "n", F.col("s.page").alias("page"), F.col("s.is_heading").alias("is_heading"), F.md5("s.text").alias("digest"), F.col("s.ocr").alias("ocr"))
+
+
 @query
 def store_files(spark, sf):
     return _stored(spark, sf).files().select("path_key", "status", "num_chunks")

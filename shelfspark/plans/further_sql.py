@@ -56,7 +56,11 @@ _SESSIONS = "s as (select distinct session_id, title, username, coalesce(mode, '
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 
 # page by page: without margin lines and lines that are only a number
-_PAGE_SEGMENTS = f"""with {chunk_rows('text')}, pages_ as (select file_id, chunk_id as doc_id, string_split(text, {LF}) as l from chunk_rows where text is not null),
+def _page_segments(scanned: bool) -> str:
+    """scanned: lines come without blank ones, and hyphens at line ends go before small letters."""
+    lines = f"list_filter(list_transform(string_split(text, {LF}), lambda x: {strip('x')}), lambda x: x <> '')" if scanned else f"string_split(text, {LF})"
+    shown = "md5(text) as digest, true as ocr" if scanned else "text"
+    return f"""with {chunk_rows('text')}, pages_ as (select file_id, chunk_id as doc_id, {lines} as l from chunk_rows where text is not null),
 edges as (select distinct file_id, doc_id, {strip('e')} as line from (select file_id, doc_id, unnest(list_concat(l[1:2], l[-2:])) as e from pages_)), total as (select file_id, count(*) as pages from pages_ group by file_id having count(*) >= 3),
 margins as (select file_id, line from edges join total using (file_id) where line <> '' group by file_id, line, pages having count(*) >= greatest(3, pages // 2)),
 raw as (select file_id, doc_id, unnest(l) as line, generate_subscripts(l, 1) as n from pages_),
@@ -64,8 +68,9 @@ kept_lines as (select r.* from raw r left join margins m on m.file_id = r.file_i
 documents_ as (select null::bigint as doc_id, '' as text limit 0), {LINES.partition('raw_lines as')[2].partition('stripped as')[2].join(['stripped as', '']).replace('from raw_lines', 'from kept_lines')},
 marked_ as (select file_id, doc_id, string_agg(case when s = '' then {CUT} when heading then {CUT} || {HEAD} || line || {CUT} else line end, {LF} order by n) as marked from lines group by file_id, doc_id),
 parts as (select file_id, doc_id, unnest(l) as p, generate_subscripts(l, 1) as k from (select file_id, doc_id, string_split(marked, {CUT}) as l from marked_)),
-segs as (select file_id, doc_id, k, starts_with(p, {HEAD}) as is_heading, case when starts_with(p, {HEAD}) then {strip('substr(p, 2)')} else {joined(f'string_split(p, {LF})')} end as text from parts)
-select file_id, cast(row_number() over (partition by file_id order by doc_id, k) - 1 as integer) as n, cast(doc_id as integer) as page, is_heading, text from segs where text <> ''"""
+segs as (select file_id, doc_id, k, starts_with(p, {HEAD}) as is_heading, case when starts_with(p, {HEAD}) then {strip('substr(p, 2)')} else {joined(f'string_split(p, {LF})', scanned)} end as text from parts)
+select file_id, cast(row_number() over (partition by file_id order by doc_id, k) - 1 as integer) as n, cast(doc_id as integer) as page, is_heading, {shown} from segs where text <> ''"""
+
 
 # chunks: units, then a walk over their places, all documents at once
 _CHUNKS = f"""with recursive {LINES}, marked_ as (select doc_id, string_agg(case when s = '' then {CUT} when heading then {CUT} || {HEAD} || line || {CUT} else line end, {LF} order by n) as marked from lines group by doc_id),
@@ -120,7 +125,14 @@ ORACLE: dict[str, str] = {
     "overview_chunks": f"with {DOCS}, {_OPENING} select chunk_id, cast(n as integer) as n from opening",
     "excerpts": f"""with {DOCS}, {QUESTIONS}, {INDEX}, p as ({best(bm25(ASKED), 6)}) select query_id, cast(rank as integer) as ref, md5('[' || rank || '] ' || concat_ws(' — ', nullif(name, ''), nullif({label('page_start', 'page_end')}, ''), nullif(section, ''), case when ocr then 'scanned text (OCR)' end) || {LF} || coalesce(text, '')) as digest from p join docs using (chunk_id)""",
     "file_texts": f"with {CURRENT} select path_key, 'This chat is about one file: **' || {escaped('name')} || '**' || case when {_STATE} <> '' then ' (' || {_STATE} || ')' else '' end || ', in `' || regexp_replace(path, '/[^/]*$', '') || '`.' as text from current_files",
-    "page_segments": _PAGE_SEGMENTS,
+    "page_segments": _page_segments(False),
+    "scanned_pages": _page_segments(True),
+    # words in two columns: with six or more the columns are told apart, the left one is read first
+    "layout_lines": f"""with {DOCUMENTS}, w as (select doc_id, list_filter(string_split({rr('text', WS + '+', ' ')}, ' '), lambda x: x <> '') as l from documents_),
+      e as (select doc_id, len(l) as n, unnest(l) as word, generate_subscripts(l, 1) - 1 as i from w),
+      two as (select doc_id, case when i % 2 = 0 then i // 2 else (n + 1) // 2 + 1 + i // 2 end as k, word as line from e where n >= 6 union all select doc_id, (len(l) + 1) // 2, '' from w where len(l) >= 6
+        union all select doc_id, i // 2, string_agg(word, ' ' order by i) from e where n < 6 group by doc_id, i // 2)
+      select doc_id as file_id, 1 as page, cast(k + 1 as integer) as line_no, line from two""",
     "chunk_documents": _CHUNKS,
     "rouge_l": _ROUGE,
 }

@@ -45,8 +45,9 @@ def tidy(e: str) -> str:
     return rr(rr(e, rf"\x02{WS}*\n{WS}*"), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{fffe}\x{ffff}]")
 
 
-def joined(lines: str) -> str:
+def joined(lines: str, scanned: bool = False) -> str:
     text = f"array_to_string(list_filter(list_transform({lines}, lambda x: {strip('x')}), lambda x: x <> ''), {LF})"
+    text = rr(text, r"-\n(\p{Ll})", r"\1") if scanned else text
     return rr(rr(text, r"-\n(\p{L})", r"-\1"), r"\n", " ")
 
 
