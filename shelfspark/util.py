@@ -17,7 +17,17 @@ BLANK = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}\x{200B}\x{FEFF}]"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_rows(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread_rows(df: DataFrame, least: int = 1 << 20) -> DataFrame:
+    """Rows over all cores, where a scan can't spread them: a file of a single row group is read by one task, and so would
+    be all work on its texts. A table of fewer bytes than `least`, or of as many parts as there are cores, stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if int(plan.optimizedPlan().stats().sizeInBytes()) < least or df._jdf.rdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def shared_dir(spark: SparkSession) -> str:
