@@ -36,3 +36,8 @@ def test_layout_lines_has_short_pages_too(spark):
     text = spark.read.parquet(f"{SF}/documents.parquet").filter(r"text rlike '\\p{L}'").select("doc_id")
     got = OWN["layout_lines"](spark, SF).select("file_id").distinct()
     assert text.join(got, text.doc_id == got.file_id, "left_anti").count() == 0
+
+
+@pytest.mark.parametrize("name", ["hybrid_search"])
+def test_texts_are_joined_and_written_once(spark, name):
+    assert not any("chunks.parquet" in f for f in OWN[name](spark, SF).inputFiles())
