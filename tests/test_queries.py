@@ -41,3 +41,7 @@ def test_layout_lines_has_short_pages_too(spark):
 @pytest.mark.parametrize("name", ["hybrid_search"])
 def test_texts_are_joined_and_written_once(spark, name):
     assert not any("chunks.parquet" in f for f in OWN[name](spark, SF).inputFiles())
+
+
+def test_hits_read_texts_written_once(spark):
+    assert not any("chunks.parquet" in f for f in queries._hits(spark, SF)[0].inputFiles())
