@@ -88,10 +88,10 @@ def tokens(e: str) -> str:
     return f"regexp_extract_all(translate({plain}, {q(MARKED)}, {q(UNMARKED)}), {q(r'[\p{L}\p{N}]+')})"
 
 
-def terms(source: str, key: str, text: str) -> str:
-    """Rows (key, term) of the search terms of a text, at most 32."""
+def terms(source: str, key: str, text: str, most: str = " qualify row_number() over (partition by {key} order by n) <= 32") -> str:
+    """Rows (key, term) of the search terms of a text, at most 32, or all."""
     return f"""(select {key}, w as term, n from (select {key}, w, min(n) as n from (select {key}, unnest(l) as w, generate_subscripts(l, 1) as n from (select {key}, regexp_extract_all(lower({text}), {q(_WORD)}) as l from {source}))
-  where length(w) > 1 and w not in {some(STOPWORDS)} group by {key}, w) qualify row_number() over (partition by {key} order by n) <= 32)"""
+  where length(w) > 1 and w not in {some(STOPWORDS)} group by {key}, w){most.format(key=key)})"""
 
 
 QUESTIONS = "questions as (select distinct id as query_id, content as text from messages where id % 50 = 0 and content is not null)"
@@ -164,13 +164,17 @@ def key_terms(e: str) -> str:
     return f"list_distinct(list_transform({found}, lambda w: case when {has('w', '^[0-9]')} then w else {rr('w', '(ing|ed|es|s)$')} end))"
 
 
-_EVAL = f"""{DOCS}, {INDEX},
+def _eval(asked: str) -> str:
+    return f"""{DOCS}, {INDEX},
 truth as (select c.chunk_id as query_id, f.path_key, c.text as reference from (select distinct chunk_id, file_id, text from chunks where chunk_id % 50 = 0 and file_id is not null and text is not null) c join current_files f using (file_id)),
-found as (select r.*, d.path_key as p, d.text from ({best(bm25(terms('truth', 'query_id', 'reference')), 6)}) r join docs d using (chunk_id)),
+found as (select r.*, d.path_key as p, d.text from ({best(bm25(asked), 6)}) r join docs d using (chunk_id)),
 per as (select f.query_id, min(case when f.p = t.path_key then rank end) as first, count(*) as n, count(case when f.p = t.path_key then 1 end) as n_right, list_distinct(flatten(list({key_terms('f.text')}))) as found from found f join truth t using (query_id) group by f.query_id),
 metrics as (select t.query_id, p.first is not null as file_hit, round(coalesce(1.0::double / p.first, 0), 4) as mrr, round(coalesce(p.n_right::double / greatest(p.n, 1), 0), 4) as precision,
   round(coalesce(len(list_intersect({key_terms('t.reference')}, coalesce(p.found, []))), 0)::double / greatest(len({key_terms('t.reference')}), 1), 4) as ctx_recall from truth t left join per p using (query_id))"""
 
+
+_EVAL, _EVAL_WHOLE = _eval(terms("truth", "query_id", "reference")), _eval(terms("truth", "query_id", "reference", ""))
+
 _SPREAD = f"""{chunk_rows('ordinal', 'section')},
 flagged as (select *, coalesce({has('section', BACK_MATTER)}, false) as back from chunk_rows),
 body as (select *, row_number() over w - 1 as i, lag(section) over w as above, row_number() over w > 1 as has from (select *, bool_and(back) over (partition by file_id) as only_back from flagged) where not back or only_back window w as (partition by file_id order by ordinal // 1024, ordinal, chunk_id)),
@@ -270,7 +274,7 @@ ORACLE: dict[str, str] = {
     "recent_turns": f"with {_RECENT} select session_id, cast(n as integer) as n, id, role from recent",
     "history_text": f"with {_RECENT} select session_id, md5(string_agg(case role when 'user' then 'User: ' else 'Assistant: ' end || substr(coalesce(content, ''), 1, 600) || case when length(content) > 600 then '…' else '' end, {LF} order by n)) as digest from recent group by session_id",
     "session_titles": r"select session_id, case when length(c) <= 60 then c else substr(c, 1, 57) || '…' end as title from (select session_id, first(content order by id, content) as c from messages where coalesce(role, '') not in ('ai', 'assistant') and session_id is not null and regexp_matches(content, '[^\s\p{Z}\x{85}\x{1c}-\x{1f}\x{200B}\x{FEFF}]') group by session_id)",
-    "retrieval_metrics": f"with {_EVAL} select * from metrics",
+    "retrieval_metrics": f"with {_EVAL_WHOLE} select * from metrics",
     "retrieval_totals": f"with {_EVAL} select count(*) as queries, round(avg(file_hit::int), 4) as file_hit, round(avg(mrr), 4) as mrr, round(avg(precision), 4) as precision, round(avg(ctx_recall), 4) as ctx_recall from metrics",
     "ocr_plan": f"""with {chunk_rows('text')}, p as (select chunk_id, length(text) as chars, case when chunk_id % 10 < 2 then [] else [{{x0: 0.0::double, y0: 50.0::double, x1: least(100 + 60 * (chunk_id % 10), 612)::double, y1: 500.0::double}}, {{x0: 50.0::double, y0: 700.0::double, x1: 120.0::double, y1: 792.0::double}}] end as boxes from chunk_rows where text is not null),
       c as (select *, least(1, coalesce(list_sum(list_transform(boxes, lambda b: {_AREA})), 0)) as covered from p)

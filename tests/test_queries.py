@@ -45,3 +45,13 @@ def test_texts_are_joined_and_written_once(spark, name):
 
 def test_hits_read_texts_written_once(spark):
     assert not any("chunks.parquet" in f for f in queries._hits(spark, SF)[0].inputFiles())
+
+
+def test_retrieval_metrics_search_for_the_whole_text(spark, monkeypatch):
+    from shelfspark.operators import search
+
+    seen = []
+    found = search.bm25
+    monkeypatch.setattr(search, "bm25", lambda docs, q, *a: seen.append(q) or found(docs, q, *a))
+    OWN["retrieval_metrics"](spark, SF)
+    assert seen[0].selectExpr("max(size(terms)) as n").first().n > 32
