@@ -38,7 +38,7 @@ def test_layout_lines_has_short_pages_too(spark):
     assert text.join(got, text.doc_id == got.file_id, "left_anti").count() == 0
 
 
-@pytest.mark.parametrize("name", ["hybrid_search", "rerank_scores", "fused_ranks", "unanswerable_relevance", "excerpts"])
+@pytest.mark.parametrize("name", ["rerank_scores", "unanswerable_relevance", "excerpts", "hybrid_search", "question_answers", "fused_ranks"])
 def test_texts_are_joined_and_written_once(spark, name):
     assert not any("chunks.parquet" in f for f in OWN[name](spark, SF).inputFiles())
 
